@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textquarry.llm import glyphs, leakage, splitting
+from textquarry.llm import glyphs, leakage, quality, splitting
 
-MODULES = [glyphs, splitting, leakage]
+MODULES = [glyphs, splitting, leakage, quality]
 
 
 def queries() -> dict:
