@@ -26,12 +26,11 @@ COMMON = (
     "the of and to in is are be a an for with by from at that this it or not if any each its shall than on when where which"
 )
 
-_COMMON = "(?iU)(?<![\\w])(" + "|".join(COMMON.split()) + ")(?![\\w])"
 _BULLET = r"(?m)^[ \t]*([-–—•*·‣]|\(?\d{1,3}[.)]|[а-яёa-z]\)|\d{1,2}(\.\d{1,3})+\.?)[ \t].{1,150}$"
-_LEADER = r"(?m)^.*(\. ?){4,}[ \t]*\d+[ \t]*$"
+_LEADER = r"(?m)^[^\n]*?\.[. ]{4,}[ \t]*\d+[ \t]*$"
 _CODES = r"(?mU)^(ГОСТ|ОСТ|СП|РД|СТО|ТУ|ISO|EN|DIN|IEC)( Р)? [\d.]+[-–—]\d{2,4}[ ,.].{0,100}$"
 _ITEM = r"(?mU)^[ \t]*\p{Lu}[^.;:!?\n]{0,70};?[ \t]*$"
-_CELLS = r"(?m)^.*(\|.*\|.*|\t.*\t.*|;[^ \n][^;\n]*;[^ \n][^;\n]*(;.*)?|\S {2,}\S.* {2,}\S.*)$"
+_CELLS = r"(?m)^(?:[^|\n]*+\|[^|\n]*+\|.*|[^\t\n]*+\t[^\t\n]*+\t.*|[^;\n]++;[^ ;\n][^;\n]*+;[^ ;\n].*|[ \t]*+\S++(?: \S++)*+ {2,}\S++(?: \S++)*+ {2,}\S.*)$"
 _NUMBER_ROW = r"(?mU)^[ \t]*(\p{Lu}{0,3}\d[\d.,]*|—)([ \t]+(—|[\d.,]*\d[\d.,]*)){2,}[ \t]*$"
 _CODE_LINE = r"(?m)^[ \t]*([A-Za-z_$][\w.$]*[ \t]*[={(\[:]|[{}\[\]<]|0x[0-9a-fA-F]+).{0,150}$"
 _SYMBOL = r"[^\p{L}\p{N}\s.,;:!?()\"'«»„“”%№°²³·/—–\-+=|•*]"
@@ -51,7 +50,7 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
     documents keep a row each.
     """
     base = documents.select(key, F.nullif(F.regexp_replace(F.col(text), r"(?U)\A\s+|\s+\z", ""), F.lit("")).alias("_t"))
-    base = pinned(base, "_w", F.split("_t", r"(?U)\s+"))
+    base = pinned(base, "_w", F.split(F.lower("_t"), r"(?U)\s+"))
     base = pinned(base, "_l", F.filter(F.split("_t", r"\r?\n"), lambda x: x.rlike(r"(?U)\S")))
     n_words, n_lines = F.nullif(F.size("_w"), F.lit(0)), F.nullif(F.size("_l"), F.lit(0))
     letters = F.length(F.regexp_replace("_t", r"[^\p{L}]+", ""))
@@ -61,7 +60,7 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
         (F.length(F.regexp_replace("_t", r"(?U)\s+", "")) / n_words).alias("mean_word_length"),
         (F.regexp_count("_t", F.lit(_SYMBOL)) / F.length("_t")).alias("symbol_ratio"),
         (F.regexp_count("_t", F.lit(r"(?m)[.!?…;:][»\")\]]?[ \t]*$")) / n_lines).alias("line_end_punctuation"),
-        (F.regexp_count("_t", F.lit(_COMMON)) / n_words).alias("common_words"),
+        (F.size(F.filter("_w", lambda w: w.isin(COMMON.split()))) / n_words).alias("common_words"),
         F.when(F.col("_l").isNotNull(), n_lines).alias("line_count"),
         (F.length("_t") / n_lines).alias("mean_line_length"),
         (letters / F.length("_t")).alias("letter_share"),
