@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textquarry.llm import glyphs, leakage, quality, splitting
+from textquarry.llm import glyphs, leakage, neardup, quality, splitting
 
-MODULES = [glyphs, splitting, leakage, quality]
+MODULES = [glyphs, splitting, neardup, leakage, quality]
 
 
 def queries() -> dict:
