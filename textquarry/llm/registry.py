@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textquarry.llm import glyphs, leakage, neardup, quality, splitting
+from textquarry.llm import glyphs, leakage, mixing, neardup, neighbours, quality, splitting
 
-MODULES = [glyphs, splitting, neardup, leakage, quality]
+MODULES = [glyphs, neighbours, splitting, neardup, leakage, mixing, quality]
 
 
 def queries() -> dict:
