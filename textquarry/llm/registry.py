@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textquarry.llm import glyphs, leakage, mixing, neardup, neighbours, quality, splitting
+from textquarry.llm import glyphs, leakage, mixing, neardup, neighbours, quality, scans, splitting
 
-MODULES = [glyphs, neighbours, splitting, neardup, leakage, mixing, quality]
+MODULES = [scans, glyphs, neighbours, splitting, neardup, leakage, mixing, quality]
 
 
 def queries() -> dict:
