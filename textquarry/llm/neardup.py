@@ -1,9 +1,9 @@
 """Problem 5: groups of records that differ by small edits.
 
 Rows of equal text are collapsed first.  Every representative becomes a set of
-token hashes ordered from the rarest, a signature bitmap and a size.  Two sets at
+32-bit token hashes ordered from the rarest, a signature bitmap and a size.  Two sets at
 the threshold share a token among their first ``n - ceil(t n) + 1``, so records are
-routed by those tokens; tokens that occur once meet nobody and are dropped.  Where
+routed by those tokens.  Where
 records meet, they are arranged in a signature tree, whose nodes hold the
 OR-combined bitmap and the size range of what is below, and the tree is traversed
 against itself (or, for hot tokens, block against block): a pair of nodes is left
@@ -22,10 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.session import checkpointed, table
+from textquarry.session import broadcast_if_small, checkpointed, table
 
 #: Bits of a signature; words of 64.
-WORDS = 4
+WORDS = 2
 #: Children of a tree node, and records of a block of a hot token.
 FANOUT, BLOCK = 8, 1024
 #: Atoms whose counts order the tokens: a bound on what is broadcast, the others count as rare.
@@ -73,15 +73,15 @@ def _sets(kind: str, threshold: float, counts):
                 for k in range(1, width):
                     token = (token * np.uint64(0x9E3779B97F4A7C15)) ^ (h[k : n + k] + np.uint64(k))
                     score += weight[k : n + k]
-                token, first = np.unique(token, return_index=True)
+                token, first = np.unique((token >> np.uint64(32)).astype(np.uint32), return_index=True)
                 # a total order that all records share: estimated frequency, then the hash
                 token = token[np.lexsort((token, score[first].round(6)))]
                 size = len(token)
                 bits = np.zeros(WORDS, dtype=np.uint64)
-                slot = (token >> np.uint64(20)) % np.uint64(64 * WORDS)
-                np.bitwise_or.at(bits, (slot // np.uint64(64)).astype(np.int64), np.uint64(1) << (slot % np.uint64(64)))
+                slot = token % np.uint32(64 * WORDS)
+                np.bitwise_or.at(bits, (slot // 64).astype(np.int64), np.uint64(1) << (slot % 64).astype(np.uint64))
                 keep = size - math.ceil(threshold * size - 1e-9) + 1
-                out.append((rep, token.view(np.int64), size, bits.tobytes(), keep))
+                out.append((rep, token.view(np.int32), size, bits.tobytes(), keep))
             yield pd.DataFrame(out, columns=["rep", "tokens", "size", "bits", "keep"])
 
     return run
@@ -155,8 +155,8 @@ def _traverse(threshold: float):
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = batch[["token", "left", "right"]].to_numpy()
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            token, left, right = (batch[k].to_numpy() for k in ("token", "left", "right"))
+            cut = np.flatnonzero((token[1:] != token[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])) + 1
             whole = int(cut[-1]) if len(cut) else 0
             if whole:
                 yield columns(batch.iloc[:whole]), np.concatenate([[0], cut])
@@ -185,14 +185,14 @@ def _traverse(threshold: float):
                 i, j = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
                 ok = _possible(c["bits"][i], c["size"][i], c["bits"][j], c["size"][j], threshold)
                 found.append((c["rep"][i[ok]], c["rep"][j[ok]]))
-            for s, e in zip(edges[:-1], edges[1:]):
+            rest = (length > FANOUT) | ((c["left"][start] != c["right"][start]) & (length > 1))
+            for s, e in zip(start[rest], edges[1:][rest]):
                 part = slice(s, e)
                 bits, size, rep, block = c["bits"][part], c["size"][part], c["rep"][part], c["block"][part]
                 if c["left"][s] == c["right"][s]:
-                    if e - s > FANOUT:
-                        tree = _Tree(bits, size)
-                        x, y = _meets(tree, tree, threshold)
-                        found.append((rep[x], rep[y]))
+                    tree = _Tree(bits, size)
+                    x, y = _meets(tree, tree, threshold)
+                    found.append((rep[x], rep[y]))
                     continue
                 m, o = block == c["left"][s], block == c["right"][s]
                 if m.any() and o.any():
@@ -219,7 +219,10 @@ def similar_pairs(records: DataFrame, kind: str, threshold: float) -> DataFrame:
     one representative (the least id), ties need no order as all pairs come out.
     """
     spark = records.sparkSession
-    reps = records.where("text is not null").groupBy(F.lower("text").alias("text")).agg(F.min("id").alias("rep"))
+    # copies leave by their ids, so that texts are not shuffled
+    copies = checkpointed(classes(records).where("id <> rep").select("id"))
+    texts = records.where("text is not null").join(broadcast_if_small(copies, copies.count()), "id", "left_anti")
+    reps = texts.select(F.col("id").alias("rep"), F.lower("text").alias("text"))
     split = F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)) if kind == "words" else F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(3))
     )
@@ -227,21 +230,23 @@ def similar_pairs(records: DataFrame, kind: str, threshold: float) -> DataFrame:
     top = counted.where("count > 1").orderBy(F.desc("count"), "atom").limit(FREQUENT).collect()
     counts = spark.sparkContext.broadcast({r["atom"]: r["count"] for r in top})
     sets = checkpointed(
-        reps.select("rep", "text").mapInPandas(_sets(kind, threshold, counts), "rep long, tokens array<long>, size int, bits binary, keep int")
+        reps.select("rep", "text").mapInPandas(_sets(kind, threshold, counts), "rep long, tokens array<int>, size int, bits binary, keep int")
     )
-    keys = sets.select("rep", F.explode(F.slice("tokens", F.lit(1), F.col("keep"))).alias("token"))
-    shared = keys.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    met = keys.join(shared, "token").join(sets.select("rep", "size", "bits"), "rep")
+    keys = sets.select("rep", "size", "bits", F.explode(F.slice("tokens", F.lit(1), F.col("keep"))).alias("token"))
     # a hot token is cut into blocks, and every pair of blocks is a task of its own
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    hot = checkpointed(keys.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
     routed = (
-        met.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        keys.join(broadcast_if_small(hot, hot.count()), "token", "left")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("token", F.least("block", "other").cast("int").alias("left"), F.greatest("block", "other").cast("int").alias("right"), "block", "rep", "size", "bits")
     )
     placed = routed.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
     maybe = checkpointed(placed.mapInPandas(_traverse(threshold), "a long, b long").distinct())
-    side = lambda c: sets.select(F.col("rep").alias(c), F.col("tokens").alias("t" + c), F.col("size").alias("s" + c))
+    wanted = maybe.select(F.col("a").alias("rep")).unionByName(maybe.select(F.col("b").alias("rep"))).distinct()
+    whole = sets.join(broadcast_if_small(wanted, 2 * maybe.count()), "rep", "left_semi")
+    side = lambda c: whole.select(F.col("rep").alias(c), F.col("tokens").alias("t" + c), F.col("size").alias("s" + c))
     both = maybe.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
     return both.select("a", "b", (F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))).alias("similarity")).where(
         F.col("similarity") >= threshold - 1e-9
