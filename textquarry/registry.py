@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from textquarry.operators import search
+
+MODULES = [search]
 
 
 def queries() -> dict:
