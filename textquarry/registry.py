@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textquarry.operators import search
+from textquarry.operators import corpus, metadata, search
 
-MODULES = [search]
+MODULES = [search, metadata, corpus]
 
 
 def queries() -> dict:
