@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textquarry.operators import corpus, metadata, search
+from textquarry.operators import answers, corpus, metadata, search, structure
 
-MODULES = [search, metadata, corpus]
+MODULES = [search, metadata, corpus, structure, answers]
 
 
 def queries() -> dict:
