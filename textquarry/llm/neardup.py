@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from textquarry.session import broadcast_if_small, checkpointed, table
 
 #: Bits of a signature; words of 64.
-WORDS = 2
+WORDS = 4
 #: Children of a tree node, and records of a block of a hot token.
 FANOUT, BLOCK = 8, 1024
 #: Atoms whose counts order the tokens: a bound on what is broadcast, the others count as rare.
@@ -207,20 +207,20 @@ def _traverse(threshold: float):
 
 def classes(records: DataFrame) -> DataFrame:
     """``id, rep``: rows of equal lower-cased text share the least id as representative."""
-    keyed = records.where("text is not null").select("id", F.sha2(F.lower("text"), 256).alias("key"))
+    keyed = records.where("text is not null").select("id", F.unhex(F.sha2(F.lower("text"), 256)).alias("key"))
     return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("rep")), "key").select("id", "rep")
 
 
-def similar_pairs(records: DataFrame, kind: str, threshold: float) -> DataFrame:
+def similar_pairs(records: DataFrame, members: DataFrame, kind: str, threshold: float) -> DataFrame:
     """``a, b, similarity``: pairs of representatives with Jaccard similarity at the threshold or over.
 
-    ``records`` has ``id, text``; the text is lower-cased and otherwise taken as it
+    ``records`` has ``id, text``, ``members`` is their ``classes``; the text is lower-cased and otherwise taken as it
     is.  Null texts and texts too short for one token take no part, equal texts are
     one representative (the least id), ties need no order as all pairs come out.
     """
     spark = records.sparkSession
     # copies leave by their ids, so that texts are not shuffled
-    copies = checkpointed(classes(records).where("id <> rep").select("id"))
+    copies = members.where("id <> rep").select("id")
     texts = records.where("text is not null").join(broadcast_if_small(copies, copies.count()), "id", "left_anti")
     reps = texts.select(F.col("id").alias("rep"), F.lower("text").alias("text"))
     split = F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)) if kind == "words" else F.transform(
@@ -289,7 +289,8 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
     parts = []
     for tab, source, kind, threshold in SOURCES:
         rows = source(spark, sf_dir)
-        pairs, members = similar_pairs(rows, kind, threshold), classes(rows)
+        members = checkpointed(classes(rows))
+        pairs = similar_pairs(rows, members, kind, threshold)
         wide = (
             pairs.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
             .join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
@@ -303,7 +304,8 @@ def p5_groups(spark, sf_dir: str) -> DataFrame:
     parts = []
     for tab, source, kind, threshold in SOURCES:
         rows = source(spark, sf_dir)
-        pairs, members = checkpointed(similar_pairs(rows, kind, threshold)), classes(rows)
+        members = checkpointed(classes(rows))
+        pairs = checkpointed(similar_pairs(rows, members, kind, threshold))
         reps = members.select("rep").distinct()
         ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
         links = ends.groupBy("rep").agg(F.count("*").alias("links"))
