@@ -1 +1,5 @@
-"""plans of textquarry."""
+"""Whole pipelines, as compositions of operators."""
+
+from textquarry.operators.search import q_context as ask
+
+__all__ = ["ask"]
