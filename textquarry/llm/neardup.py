@@ -26,6 +26,7 @@ from textquarry.session import broadcast_if_small, checkpointed, table
 
 #: Bits of a signature; words of 64.
 WORDS = 4
+BITS = [f"b{i}" for i in range(WORDS)]
 #: Children of a tree node, and records of a block of a hot token.
 FANOUT, BLOCK = 8, 1024
 #: Atoms whose counts order the tokens: a bound on what is broadcast, the others count as rare.
@@ -81,8 +82,8 @@ def _sets(kind: str, threshold: float, counts):
                 slot = token % np.uint32(64 * WORDS)
                 np.bitwise_or.at(bits, (slot // 64).astype(np.int64), np.uint64(1) << (slot % 64).astype(np.uint64))
                 keep = size - math.ceil(threshold * size - 1e-9) + 1
-                out.append((rep, token.view(np.int32), size, bits.tobytes(), keep))
-            yield pd.DataFrame(out, columns=["rep", "tokens", "size", "bits", "keep"])
+                out.append((rep, token.view(np.int32), size, *bits.view(np.int64).tolist(), keep))
+            yield pd.DataFrame(out, columns=["rep", "tokens", "size", *BITS, "keep"])
 
     return run
 
@@ -167,7 +168,7 @@ def _traverse(threshold: float):
     def columns(batch: pd.DataFrame) -> dict:
         return {
             "rep": batch["rep"].to_numpy(),
-            "bits": np.frombuffer(b"".join(batch["bits"]), dtype=np.uint64).reshape(-1, WORDS),
+            "bits": np.stack([batch[b].to_numpy() for b in BITS], axis=1).view(np.uint64),
             "size": batch["size"].to_numpy().astype(np.int64),
             "block": batch["block"].to_numpy(),
             "left": batch["left"].to_numpy(),
@@ -230,9 +231,9 @@ def similar_pairs(records: DataFrame, members: DataFrame, kind: str, threshold:
     top = counted.where("count > 1").orderBy(F.desc("count"), "atom").limit(FREQUENT).collect()
     counts = spark.sparkContext.broadcast({r["atom"]: r["count"] for r in top})
     sets = checkpointed(
-        reps.select("rep", "text").mapInPandas(_sets(kind, threshold, counts), "rep long, tokens array<int>, size int, bits binary, keep int")
+        reps.select("rep", "text").mapInPandas(_sets(kind, threshold, counts), f"rep long, tokens array<int>, size int, {', '.join(b + ' long' for b in BITS)}, keep int")
     )
-    keys = sets.select("rep", "size", "bits", F.explode(F.slice("tokens", F.lit(1), F.col("keep"))).alias("token"))
+    keys = sets.select("rep", "size", *BITS, F.explode(F.slice("tokens", F.lit(1), F.col("keep"))).alias("token"))
     # a hot token is cut into blocks, and every pair of blocks is a task of its own
     hot = checkpointed(keys.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
@@ -240,7 +241,7 @@ def similar_pairs(records: DataFrame, members: DataFrame, kind: str, threshold:
         keys.join(broadcast_if_small(hot, hot.count()), "token", "left")
         .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("token", F.least("block", "other").cast("int").alias("left"), F.greatest("block", "other").cast("int").alias("right"), "block", "rep", "size", "bits")
+        .select("token", F.least("block", "other").cast("int").alias("left"), F.greatest("block", "other").cast("int").alias("right"), "block", "rep", "size", *BITS)
     )
     placed = routed.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
     maybe = checkpointed(placed.mapInPandas(_traverse(threshold), "a long, b long").distinct())
