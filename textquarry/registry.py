@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textquarry.operators import answers, corpus, metadata, search, structure
+from textquarry.operators import answers, corpus, metadata, packing, search, structure
 
-MODULES = [search, metadata, corpus, structure, answers]
+MODULES = [search, metadata, corpus, packing, structure, answers]
 
 
 def queries() -> dict:
