@@ -62,16 +62,31 @@ def clause_follows(p: list[int], q: list[int]) -> bool:
 
 
 def longest_chain(clauses: list[str]) -> list[int]:
-    """Indexes of the longest subsequence in clause order; the earliest end on ties."""
-    parsed = [[int(x) for x in c.split(".")] for c in clauses]
-    best, parent = [1] * len(parsed), [-1] * len(parsed)
-    for i, q in enumerate(parsed):
-        for j in range(i):
-            if best[j] + 1 > best[i] and clause_follows(parsed[j], q):
-                best[i], parent[i] = best[j] + 1, j
-    if not best:
-        return []
-    at, out = best.index(max(best)), []
+    """Indexes of the longest subsequence in clause order; the earliest end on ties.
+
+    What ``clause_follows`` asks of the clause before is that clause itself or a prefix of it,
+    so the best chain by prefix stands for all earlier clauses.
+    """
+    parent: list[int] = []
+    exact: dict[tuple, tuple[int, int]] = {}  # clause or prefix -> (length of its best chain, -index)
+    prefix: dict[tuple, tuple[int, int]] = {}
+    most, at = 0, -1
+    for i, c in enumerate(clauses):
+        q = tuple(int(x) for x in c.split("."))
+        ways = [exact[q[:-1]]] if q[-1] == 1 and q[:-1] in exact else []
+        for k in range(len(q) - 1, -1, -1):
+            ways += [prefix[p] for p in ((*q[:k], q[k] - 1), (*q[:k], q[k] - 2)) if p in prefix]
+            if q[k] != 1:
+                break
+        length, last = max(ways, default=(0, 1))
+        parent.append(-last)
+        mine = (length + 1, -i)
+        exact[q] = max(exact.get(q, mine), mine)
+        for k in range(1, len(q) + 1):
+            prefix[q[:k]] = max(prefix.get(q[:k], mine), mine)
+        if length + 1 > most:
+            most, at = length + 1, i
+    out = []
     while at >= 0:
         out.append(at)
         at = parent[at]
@@ -89,6 +104,32 @@ def clause_chain(blocks: DataFrame) -> DataFrame:
     return opening.groupBy("doc_id").applyInPandas(chain, "doc_id string, block_seq int, clause string")
 
 
+def inherited(blocks: DataFrame, openers: DataFrame, segment: int = 256) -> DataFrame:
+    """``block_id, section``: the clause of the last opener at or before the block in its document, over pages.
+
+    The last clause of each segment of blocks is carried over a window on the segments
+    alone and then filled inside them, so that no document is one task.
+    """
+    rows = blocks.select("block_id", "doc_id", "block_seq", F.floor(F.col("block_seq") / segment).alias("part")).join(openers.select("doc_id", "block_seq", "clause"), ["doc_id", "block_seq"], "left")
+    ends = rows.groupBy("doc_id", "part").agg(F.max_by("clause", F.when(F.col("clause").isNotNull(), F.col("block_seq"))).alias("last"))
+    before = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("doc_id", "part", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    inside = Window.partitionBy("doc_id", "part").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("own", F.last("clause", ignorenulls=True).over(inside))
+    return filled.join(carry, ["doc_id", "part"]).select("block_id", F.coalesce("own", "carried").alias("section"))
+
+
+def blocks_of_documents(pages: DataFrame) -> DataFrame:
+    """``blocks_from_text`` with the clause at the end of the pages before carried on; a page that comes twice counts once."""
+    clauses = lines_of(pages, ["doc_id", "page_no", "page_id"]).withColumn("clause", clause_number(F.col("line"))).where("clause is not null")
+    ends = clauses.groupBy("doc_id", "page_no").agg(F.max_by("clause", F.struct("page_id", "line_no")).alias("last"))
+    before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    every = pages.select("doc_id", "page_no").distinct().join(ends, ["doc_id", "page_no"], "left")
+    carry = every.withColumn("carried", F.last("last", ignorenulls=True).over(before)).where("carried is not null")
+    carried = pages.select("page_id", "doc_id", "page_no").join(carry, ["doc_id", "page_no"]).select("page_id", "carried")
+    return blocks_from_text(pages).join(carried, "page_id", "left").select("page_id", "first_line", F.coalesce("section", "carried").alias("section"), "lines")
+
+
 def table_cells(blocks: DataFrame) -> DataFrame:
     """``block_id, row_no, col_no, cell`` of pipe tables, separator rows left out."""
     rows = blocks.where("text is not null").select("block_id", F.posexplode(F.split("text", "\n")).alias("row_no", "line"))
@@ -118,6 +159,16 @@ def q_inherit(spark, sf):
     return b.select("block_id", F.last("c", ignorenulls=True).over(w).alias("section"))
 
 
+def q_document_sections(spark, sf):
+    """Section of each block by the chain of clauses of its document."""
+    b = table(spark, sf, "blocks")
+    return inherited(b, clause_chain(b))
+
+
+def q_document_blocks(spark, sf):
+    return blocks_of_documents(table(spark, sf, "page_docs"))
+
+
 def q_repeated(spark, sf):
     return repeated_lines(table(spark, sf, "page_docs"))
 
@@ -183,9 +234,13 @@ _REP = f"""{_L}, nb AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n, row
 _C = r"""r AS (SELECT block_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1)::INT - 1 AS row_no FROM blocks WHERE text IS NOT NULL),
  k AS (SELECT block_id, row_no, string_split(substr(line, 2, length(line) - 2), '|') AS cs FROM r WHERE regexp_full_match(line, '\|.*\|') AND NOT regexp_full_match(line, '\|[ :|-]+\|')),
  cells AS (SELECT block_id, row_no, generate_subscripts(cs, 1)::INT - 1 AS col_no, trim(unnest(cs)) AS cell FROM k)"""
+_BLOCKS = f"""{_L}, m AS (SELECT doc_id, page_id, line_no, trim(line) = '' AS blank, {_clause('line')} AS clause FROM l),
+ g AS (SELECT *, CASE WHEN clause IS NOT NULL OR coalesce(lag(blank) OVER (PARTITION BY page_id ORDER BY line_no), true) THEN 1 ELSE 0 END AS s FROM m),
+ b AS (SELECT *, sum(s) OVER (PARTITION BY page_id ORDER BY line_no) AS b, last_value(clause IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM g)"""
 QUERIES = {
     "clean_text": q_clean, "clause_extract": q_clauses, "clause_inherit": q_inherit, "repeated_lines": q_repeated, "strip_repeated": q_strip, "blocks_from_text": q_blocks, "approx_tokens": q_tokens,
     "split_text": q_split, "table_cells": q_cells, "data_row_flags": q_data_rows, "table_markdown": q_markdown, "clause_chain": q_chain,
+    "document_sections": q_document_sections, "document_blocks": q_document_blocks,
 }
 ORACLES = {
     "clean_text": r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', E'\n', 'g'), '[\x{ad}\x{200b}]', '', 'g'), '[\x{a0}\x{202f}\x{2007}]', ' ', 'g'), '([\pL\pN_])[-‐‑][ \t]*\n\s*([\pL\pN_])', '\1\2', 'g'), '[ \t]{2,}', ' ', 'g'), '(?m)^[ \t]+|[ \t]+$', '', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g') AS text FROM page_docs""",
@@ -202,4 +257,20 @@ ORACLES = {
     "table_cells": f"WITH {_C} SELECT * FROM cells",
     "data_row_flags": rf"WITH {_C} SELECT block_id, row_no, sum((length(regexp_replace(cell, '[^0-9.,±—-]+', '', 'g')) >= 0.8 * length(cell))::INT) * 2 >= count(*) AS is_data FROM cells WHERE cell <> '' GROUP BY 1, 2",
     "table_markdown": f"WITH {_C}, w AS (SELECT block_id, row_no, '| ' || string_agg(cell, ' | ' ORDER BY col_no) || ' |' AS r FROM cells GROUP BY 1, 2) SELECT block_id, string_agg(r, E'\\n' ORDER BY row_no) AS markdown FROM w GROUP BY 1",
+    "document_sections": rf"""WITH RECURSIVE o AS (SELECT *, list_transform(string_split(clause, '.'), lambda x: x::INT) AS q FROM (SELECT doc_id, block_seq, {_clause("string_split(text, E'\n')[1]")} AS clause FROM blocks) WHERE clause IS NOT NULL),
+      n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_seq) AS i FROM o),
+      e AS (SELECT y.doc_id, y.i, list(x.i ORDER BY x.i) AS js FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.i < y.i AND (y.q = list_append(x.q, 1) OR len(list_filter(range(1, least(len(x.q), len(y.q)) + 1), lambda k: x.q[1:k - 1] = y.q[1:k - 1] AND y.q[k] - x.q[k] BETWEEN 1 AND 2 AND len(list_filter(y.q[k + 1:], lambda v: v <> 1)) = 0)) > 0) GROUP BY 1, 2),
+      l AS (SELECT n.doc_id, list(coalesce(js, []::BIGINT[]) ORDER BY n.i) AS js, count(*) AS n FROM n LEFT JOIN e ON e.doc_id = n.doc_id AND e.i = n.i GROUP BY 1),
+      f AS (SELECT doc_id, 0::BIGINT AS i, []::BIGINT[] AS best, []::BIGINT[] AS parent FROM l
+        UNION ALL SELECT doc_id, i + 1, list_append(best, coalesce(m, 0) + 1), list_append(parent, coalesce(list_filter(j, lambda x: best[x] = m)[1], 0))
+        FROM (SELECT f.doc_id, i, best, parent, js[i + 1] AS j, list_max(list_transform(js[i + 1], lambda x: best[x])) AS m FROM f JOIN l ON f.doc_id = l.doc_id WHERE i < n)),
+      d AS (SELECT f.doc_id, best, parent FROM f JOIN l ON f.doc_id = l.doc_id AND f.i = l.n),
+      c AS (SELECT doc_id, parent, list_position(best, list_max(best))::BIGINT AS i FROM d UNION ALL SELECT doc_id, parent, parent[i] FROM c WHERE parent[i] > 0),
+      k AS (SELECT n.doc_id, block_seq, clause FROM c JOIN n ON c.doc_id = n.doc_id AND c.i = n.i)
+      SELECT block_id, last_value(clause IGNORE NULLS) OVER (PARTITION BY b.doc_id ORDER BY b.block_seq ROWS UNBOUNDED PRECEDING) AS section FROM blocks b LEFT JOIN k ON k.doc_id = b.doc_id AND k.block_seq = b.block_seq""",
+    "document_blocks": f"""WITH {_BLOCKS},
+      z AS (SELECT doc_id, page_no, max_by(clause, (page_id, line_no)) AS last FROM m JOIN (SELECT page_id, page_no FROM page_docs) USING (page_id) WHERE clause IS NOT NULL GROUP BY 1, 2),
+      c AS (SELECT p.doc_id, p.page_no, last_value(last IGNORE NULLS) OVER (PARTITION BY p.doc_id ORDER BY p.page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM (SELECT DISTINCT doc_id, page_no FROM page_docs) p LEFT JOIN z ON z.doc_id = p.doc_id AND z.page_no = p.page_no),
+      x AS (SELECT page_id, min(line_no) AS first_line, max(section) AS section, count(*) AS lines FROM b WHERE NOT blank GROUP BY page_id, b.b)
+      SELECT x.page_id, first_line, coalesce(section, carried) AS section, lines FROM x JOIN page_docs p ON p.page_id = x.page_id JOIN c ON c.doc_id = p.doc_id AND c.page_no = p.page_no""",
 }
