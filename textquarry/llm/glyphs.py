@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -109,9 +110,8 @@ def skeleton(column: Column) -> Column:
     return F.translate(F.lower(F.translate(plain, wide, narrow)), "abcehkmoptxyëαβεηκμορτυχνйё", "авсенкмортхуеавенкмортухвие")
 
 
-def _looks(text: str) -> list[str]:
-    """``skeleton|script|context`` of each word wholly made of look-alike letters."""
-    out = []
+def _look_words(text: str) -> Iterator[tuple[re.Match, str]]:
+    """Each word wholly made of look-alike letters, and its ``skeleton|script|context``."""
     foreign = _FOREIGN.search(text) is not None
     for m in _ONLY_LOOKS.finditer(text):
         word = m[0]
@@ -122,8 +122,35 @@ def _looks(text: str) -> list[str]:
         if foreign:
             around = text[max(0, m.start() - CONTEXT) : m.start()] + " " + text[m.end() : m.end() + CONTEXT]
             context = "f" if len(_FIRM_FOREIGN(around)) > len(_FIRM_CYRILLIC(around)) else "c"
-        out.append(f"{_DIGIT.sub('#', word.translate(_TO_CYRILLIC))}|{script}|{context}")
-    return out
+        yield m, f"{_DIGIT.sub('#', word.translate(_TO_CYRILLIC))}|{script}|{context}"
+
+
+def _looks(text: str) -> list[str]:
+    return [key for _, key in _look_words(text)]
+
+
+def _rewritten(text: str, minority: set[str]) -> str:
+    """The text with the words of the minority in the script of the majority."""
+    out, at = [], 0
+    for m, key in _look_words(text):
+        if key in minority:
+            out += [text[at : m.start()], m[0].translate(_TO_LATIN if key.split("|")[1] == "c" else _TO_CYRILLIC)]
+            at = m.end()
+    return "".join([*out, text[at:]])
+
+
+def _parts(scanned: DataFrame, key: list[str]) -> DataFrame:
+    return scanned.select(*key, F.explode("_s.looks").alias("_w")).select(*key, "_w", *(F.split("_w", r"\|")[i].alias(c) for i, c in enumerate(("_skel", "_script", "_context"))))
+
+
+def _minority(parts: DataFrame) -> DataFrame:
+    """``_skel, _context, _script``: words in the script that fewer of their occurrences have; one row for each shape of word and context."""
+    return (
+        parts.groupBy("_skel", "_context")
+        .agg(F.sum(F.when(F.col("_script") == "c", 1).otherwise(0)).alias("_c"), F.count("*").alias("_n"))
+        .where("_c > 0 and _c < _n")
+        .select("_skel", "_context", F.when(F.expr("2 * _c >= _n"), "f").otherwise("c").alias("_script"))
+    )
 
 
 def disguised_rows(values: DataFrame, key: list[str], value: str, dash: str = "false") -> DataFrame:
@@ -150,21 +177,47 @@ def disguised_rows(values: DataFrame, key: list[str], value: str, dash: str = "f
     marks = values.withColumn("_s", scan(F.col(value))).withColumn("_odd", F.col("_s.odd") | (F.col("_s.dashed") & F.expr(dash)))
     # keys and marks without the texts are read three times below, the texts once
     scanned = checkpointed(marks.select(*key, "_odd", "_s"))
-    parts = lambda df: df.select(*key, F.explode("_s.looks").alias("_w")).select(
-        *key, *(F.split("_w", r"\|")[i].alias(c) for i, c in enumerate(("_skel", "_script", "_context")))
-    )
-    # one row for each shape of word and context, whatever the size of the corpus
-    minority = (
-        parts(scanned)
-        .groupBy("_skel", "_context")
-        .agg(F.sum(F.when(F.col("_script") == "c", 1).otherwise(0)).alias("_c"), F.count("*").alias("_n"))
-        .where("_c > 0 and _c < _n")
-        .select("_skel", "_context", F.when(F.expr("2 * _c >= _n"), "f").otherwise("c").alias("_script"))
-    )
-    hidden = parts(scanned.where("not _odd")).join(minority, ["_skel", "_context", "_script"], "left_semi").select(*key).distinct()
+    minority = _minority(_parts(scanned, key))
+    hidden = _parts(scanned.where("not _odd"), key).join(minority, ["_skel", "_context", "_script"], "left_semi").select(*key).distinct()
     return scanned.where("_odd").select(*key).unionByName(hidden)
 
 
+def canonical_values(values: DataFrame, key: list[str], value: str, fold: str = "false", dash: str = "false") -> DataFrame:
+    """``key, canonical``: the consistent form of each value, whose ``key`` is unique.
+
+    Words wholly made of look-alike letters get the script that most of their
+    occurrences have in the corpus.  ``fold`` and ``dash`` are SQL conditions telling
+    in which rows letter case is folded and every dash is ``-``.
+    """
+
+    @F.pandas_udf("looks array<string>")
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        codes, distinct = pd.factorize(texts, use_na_sentinel=True)
+        looks = [_looks(canonical(t)) for t in distinct]
+        return pd.DataFrame({"looks": [looks[c] if c >= 0 else [] for c in codes]})
+
+    @F.pandas_udf("string")
+    def finish(texts: pd.Series, minority: pd.Series, folded: pd.Series, dashed: pd.Series) -> pd.Series:
+        out, done = [], {}
+        for text, marks, f, d in zip(texts, minority, folded, dashed):
+            if text is None:
+                out.append(None)
+                continue
+            at = (text, () if marks is None else tuple(sorted(marks)), f, d)
+            if at not in done:
+                plain = canonical(text)
+                plain = _rewritten(_DASH.sub("-", plain) if d else plain, set(at[1]))
+                done[at] = unicodedata.normalize("NFKC", plain).casefold() if f else plain
+            out.append(done[at])
+        return pd.Series(out, dtype=object)
+
+    # keys and words without the texts are read twice below
+    scanned = checkpointed(values.select(*key, scan(F.col(value)).alias("_s")).where("size(_s.looks) > 0"))
+    parts = _parts(scanned, key)
+    hidden = parts.join(_minority(parts), ["_skel", "_context", "_script"], "left_semi").groupBy(*key).agg(F.collect_set("_w").alias("_m"))
+    return values.join(hidden, key, "left").select(*key, finish(F.col(value), F.col("_m"), F.expr(fold), F.expr(dash)).alias("canonical"))
+
+
 def look_alike_values(spark, sf_dir: str) -> DataFrame:
     """The values of the problem in long form: ``tab, row_id, field, value``."""
     meta = table(spark, sf_dir, "doc_meta").select(
@@ -185,9 +238,7 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 def p2_canonical(spark, sf_dir: str) -> DataFrame:
     """Every value in its consistent form, designation and status with full case folding."""
-    values = look_alike_values(spark, sf_dir)
-    folded = F.when(F.col("field") == "text", canonical_text("value")).otherwise(canonical_text("value", fold=True))
-    return values.select("tab", "row_id", "field", folded.alias("canonical"))
+    return canonical_values(look_alike_values(spark, sf_dir), ["tab", "row_id", "field"], "value", "field <> 'text'", "field = 'designation'")
 
 
 QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical}
