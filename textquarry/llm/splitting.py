@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,12 +67,22 @@ def table_regions(text: str, header: str | None) -> list[tuple[int, int, str]]:
     return regions
 
 
+def lacks_header(text: str, region: tuple[int, int, str]) -> bool:
+    """Whether the table region begins without the row that its header begins with."""
+    plain = lambda row: re.sub(r"[\s|]+", " ", row).strip().lower()
+    start, end, header = region
+    first = plain(header.split("\n", 1)[0])
+    # a row with some misread characters is the same row
+    return bool(first) and all(SequenceMatcher(None, first, plain(x)).ratio() < 0.8 for x in text[start:end].split("\n", 6)[:6])
+
+
 def split_text(text: str, header: str | None = None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """(start, end, piece): own parts cover the text without gap; a piece is header, overlap and own part.
 
     The overlap is the last ``overlap`` tokens before the own part, moved left to
     the start of a word (of a row in tables) where the limit allows.  A header that
-    would take more than half the limit is not repeated.
+    would take more than half the limit is not repeated.  Where a table lacks the
+    header stored for it, a piece begins with the table and has the header too.
     """
     most, back = limit * CHARS + CHARS - 1, overlap * CHARS
     if max(1, len(text) // CHARS) <= limit:
@@ -97,7 +108,8 @@ def split_text(text: str, header: str | None = None, limit: int = LIMIT, overlap
     n = len(cut)
     strength = [_strength(text[start[i] : end[i]], text[start[i + 1] : start[i + 1] + 1]) for i in range(n - 1)]
     starts = {a for a, _, _ in regions}
-    lead = [next((len(h) for a, b, h in regions if a < s < b), 0) for s in start] if regions else [0] * n
+    bare = {r[0] for r in regions if lacks_header(text, r)}
+    lead = [next((len(h) for a, b, h in regions if a < s < b or s == a in bare), 0) for s in start] if regions else [0] * n
     for i in range(n - 1):  # a table is a unit of its own
         if start[i + 1] in starts:
             strength[i] = PARAGRAPH
@@ -109,7 +121,7 @@ def split_text(text: str, header: str | None = None, limit: int = LIMIT, overlap
         power, size, i, j = heapq.heappop(heap)
         if not (alive[i] and alive[j] and after[i] == j and end[j] - start[i] == size):
             continue
-        if size > (room if start[i] else most) - lead[i]:
+        if start[j] in bare or size > (room if start[i] else most) - lead[i]:
             continue
         alive[j], end[i], after[i] = False, end[j], after[j]
         if (k := after[i]) >= 0:
@@ -121,7 +133,7 @@ def split_text(text: str, header: str | None = None, limit: int = LIMIT, overlap
     out = []
     for i in (i for i in range(n) if alive[i]):
         a, b = start[i], end[i]
-        region = next((r for r in regions if r[0] < a < r[1]), None)
+        region = next((r for r in regions if r[0] < a < r[1] or a == r[0] in bare), None)
         head = region[2] if region else ""
         low = max(0, a - back) if a else 0
         if a and low:
