@@ -1,36 +1,41 @@
 """Problem 5: groups of records that differ by small edits.
 
 Rows of equal text are collapsed first.  Every representative becomes a set of
-32-bit token hashes ordered from the rarest, a signature bitmap and a size.  Two sets at
-the threshold share a token among their first ``n - ceil(t n) + 1``, so records are
-routed by those tokens.  Where
-records meet, they are arranged in a signature tree, whose nodes hold the
-OR-combined bitmap and the size range of what is below, and the tree is traversed
-against itself (or, for hot tokens, block against block): a pair of nodes is left
+64-bit token hashes, a size and a signature bitmap.  The tokens of the corpus are
+counted in a sketch of fixed width, and every record orders its tokens from the
+rarest by it.  Two sets at the threshold share a token among their first
+``n - ceil(t n) + 1``; these tokens are the top of a signature tree: a record hangs
+under each of its own.  Below, the records of a token are arranged by their least
+hash, which similar records tend to share, and in nodes that hold the OR-combined
+bitmap, the size range and the greatest excess of a size over the bits it sets.  All trees of a batch are traversed
+against themselves at once (hot tokens block against block): a pair of nodes is left
 when the largest overlap that bitmaps and sizes allow is under the threshold.
 Surviving pairs are verified on the whole sets.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.session import broadcast_if_small, checkpointed, table
 
 #: Bits of a signature; words of 64.
-WORDS = 4
+WORDS = 8
 BITS = [f"b{i}" for i in range(WORDS)]
 #: Children of a tree node, and records of a block of a hot token.
-FANOUT, BLOCK = 8, 1024
-#: Atoms whose counts order the tokens: a bound on what is broadcast, the others count as rare.
-FREQUENT = 50_000
+FANOUT, BLOCK = 4, 1024
+#: Counters of the sketch that orders the tokens, and its parts: what is broadcast has this size whatever the corpus.
+SKETCH, PARTS = 1 << 20, 16
+#: Pairs of nodes tested at once.
+AT_ONCE = 1 << 16
 
 _WORD = re.compile(r"\w+")
 
@@ -47,161 +52,198 @@ def char_atoms(text: str) -> list[str]:
 KINDS = {"words": (word_atoms, 3), "chars": (char_atoms, 1)}
 
 
-def _sets(kind: str, threshold: float, counts):
+def _sets(kind: str):
+    """Token sets of the texts, ascending, and at the end of a partition its counts of tokens by slot of the sketch."""
     atoms_of, width = KINDS[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh64_intdigest
 
-        known: dict[str, tuple[int, float]] = {}
-        frequent = counts.value
+        known: dict[str, int] = {}
+        counts = np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
             out = []
             for rep, text in zip(batch["rep"], batch["text"]):
                 atoms = atoms_of(text)
                 if len(atoms) < width:
                     continue
+                if len(known) > 1_000_000:
+                    known.clear()
                 for a in atoms:
                     if a not in known:
-                        if len(known) > 1_000_000:
-                            known.clear()
-                        known[a] = (xxh64_intdigest(a), math.log(frequent.get(a, 1)))
-                pairs = [known[a] if a in known else (xxh64_intdigest(a), math.log(frequent.get(a, 1))) for a in atoms]
-                h = np.array([p[0] for p in pairs], dtype=np.uint64)
-                weight = np.array([p[1] for p in pairs])
+                        known[a] = xxh64_intdigest(a)
+                h = np.array([known[a] for a in atoms], dtype=np.uint64)
                 n = len(h) - width + 1
-                token, score = h[:n].copy(), weight[:n].copy()
+                token = h[:n].copy()
                 for k in range(1, width):
                     token = (token * np.uint64(0x9E3779B97F4A7C15)) ^ (h[k : n + k] + np.uint64(k))
-                    score += weight[k : n + k]
-                token, first = np.unique((token >> np.uint64(32)).astype(np.uint32), return_index=True)
-                # a total order that all records share: estimated frequency, then the hash
-                token = token[np.lexsort((token, score[first].round(6)))]
-                size = len(token)
-                bits = np.zeros(WORDS, dtype=np.uint64)
-                slot = token % np.uint32(64 * WORDS)
-                np.bitwise_or.at(bits, (slot // 64).astype(np.int64), np.uint64(1) << (slot % 64).astype(np.uint64))
-                keep = size - math.ceil(threshold * size - 1e-9) + 1
-                out.append((rep, token.view(np.int32), size, *bits.view(np.int64).tolist(), keep))
-            yield pd.DataFrame(out, columns=["rep", "tokens", "size", *BITS, "keep"])
+                token = np.unique(token ^ (token >> np.uint64(29)))
+                out.append((rep, token.view(np.int64), len(token)))
+            if out:
+                counts += np.bincount((np.concatenate([t for _, t, _ in out]) & (SKETCH - 1)), minlength=SKETCH)
+            yield pd.DataFrame(out, columns=["rep", "tokens", "size"]).assign(part=None, counts=None)
+        parts = counts.reshape(PARTS, -1)
+        seen = [i for i in range(PARTS) if parts[i].any()]
+        yield pd.DataFrame({"rep": None, "tokens": None, "size": None, "part": seen, "counts": [parts[i].tobytes() for i in seen]})
 
     return run
 
 
-def _possible(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the largest overlap that bitmaps and sizes allow reaches the threshold."""
-    # each bit set on one side only is at least one token that is not shared
-    only_a = np.bitwise_count(a & ~b).sum(axis=1).astype(np.int64)
-    only_b = np.bitwise_count(b & ~a).sum(axis=1).astype(np.int64)
-    shared = np.minimum(size_a - only_a, size_b - only_b)
-    return shared >= threshold / (1 + threshold) * (size_a + size_b) - 1e-9
+def _sum(batch: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, dtype=np.int64) for x in batch["counts"])
+    return pd.DataFrame({"part": batch["part"].iloc[:1], "counts": [total.tobytes()]})
 
 
-class _Tree:
-    """Nodes level by level: bitmap, least and greatest size; level 0 holds the records."""
+def sketch_of(sets: DataFrame) -> np.ndarray:
+    """The summed sketch: ``PARTS`` rows come to the driver, of ``SKETCH`` numbers in all."""
+    summed = sets.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(_sum, "part int, counts binary")
+    out = np.zeros((PARTS, SKETCH // PARTS), dtype=np.int64)
+    for r in summed.collect():
+        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
-    def __init__(self, bits: np.ndarray, size: np.ndarray) -> None:
-        order = np.lexsort((*bits.T, size))  # neighbours in a node resemble each other
-        self.rows = order
-        self.levels = [(bits[order], size[order], size[order])]
-        while len(self.levels[-1][0]) > FANOUT:
-            b, low, high = self.levels[-1]
-            at = np.arange(0, len(b), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
+def _keys(threshold: float, sketch):
+    """Size, bitmap, least hash and routing tokens of every set; ``hot`` has those tokens that may have more than a block of records."""
 
-def _meets(a: _Tree, b: _Tree, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Record pairs that bitmaps and sizes do not rule out; for a tree against itself each pair once."""
-    same = a is b
-    level = max(len(a.levels), len(b.levels)) - 1
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.levels[min(level, len(a.levels) - 1)][0])), np.arange(len(b.levels[min(level, len(b.levels) - 1)][0])), indexing="ij"))
-    while True:
-        (ab, alow, ahigh), (bb, blow, bhigh) = a.levels[min(level, len(a.levels) - 1)], b.levels[min(level, len(b.levels) - 1)]
-        if same:
-            i, j = i[i <= j], j[i <= j]
-        keep = []
-        for at in range(0, len(i), 1 << 18):
-            x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-            near = (alow[x] * threshold <= bhigh[y] + 1e-9) & (blow[y] * threshold <= ahigh[x] + 1e-9)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = sketch.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("tokens")
+            token = lists.flatten().to_numpy()
+            size = batch.column("size").to_numpy()
+            start = np.cumsum(size) - size
+            row = np.repeat(np.arange(len(size)), size)
+            bits = np.zeros((len(size), WORDS), dtype=np.uint64)
+            slot = (token.view(np.uint64) >> np.uint64(40)) % np.uint64(64 * WORDS)
+            np.bitwise_or.at(bits, (row, (slot >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (slot & np.uint64(63)))
+            # a total order that all records share: count in the sketch, then the hash
+            often = count[token & (SKETCH - 1)]
+            order = np.lexsort((token, often, row))
+            keep = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+            first = (np.arange(len(token)) - start[row]) < keep[row]
+            chosen, hot = token[order][first], often[order][first] > BLOCK
+            ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+            hots = np.concatenate([[0], np.cumsum(np.bincount(row[first][hot], minlength=len(size)))]).astype(np.int32)
+            least = (token.view(np.uint64)[start] >> np.uint64(33)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), pa.array(size.astype(np.int32)), pa.array(least), *(pa.array(bits[:, w].copy().view(np.int64)) for w in range(WORDS)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen)), pa.ListArray.from_arrays(pa.array(hots), pa.array(chosen[hot]))],
+                names=["rep", "size", "least", *BITS, "route", "hot"],
+            )
+
+    return run
+
+
+class Forest:
+    """Signature trees of many groups of records, level by level.
+
+    A level has, for each node, its bitmap, least and greatest size, excess and the span of
+    its children; level 0 holds the records, the last level one root for each group.
+    """
+
+    def __init__(self, bits: np.ndarray, size: np.ndarray, edges: np.ndarray) -> None:
+        excess = size - np.bitwise_count(bits).sum(axis=1)
+        self.levels = [(bits, size, size, excess, None, None)]
+        while True:
+            n = np.diff(edges)
+            if (n == 1).all() and len(self.levels) > 1:
+                break
+            m = -(-n // FANOUT)
+            tree = np.repeat(np.arange(len(n)), m)
+            at = edges[:-1][tree] + FANOUT * (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
+            bits, low, high, excess, _, _ = self.levels[-1]
+            end = np.minimum(at + FANOUT, edges[1:][tree])
+            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at), at, end))
+            edges = np.concatenate([[0], np.cumsum(m)])
+
+    def meet(self, left: np.ndarray, right: np.ndarray, threshold: float, tested: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of records that may be similar, from pairs of trees; of a tree with itself each pair once.
+
+        ``tested`` counts, for each level, pairs of different nodes and those left by size and by bitmap.
+        """
+        share = threshold / (1 + threshold)
+        out_i, out_j = [], []
+        todo = [(len(self.levels) - 1, left, right)]
+        while todo:
+            level, i, j = todo.pop()
+            if len(i) > AT_ONCE:
+                todo += [(level, i[a : a + AT_ONCE], j[a : a + AT_ONCE]) for a in range(0, len(i), AT_ONCE)]
+                continue
+            bits, low, high, excess, first, end = self.levels[level]
+            same = i == j
+            near = same | ((low[i] * threshold <= high[j] + 1e-9) & (low[j] * threshold <= high[i] + 1e-9))
+            if tested is not None:
+                tested[level, "pairs"] += int((~same).sum())
+                tested[level, "size"] += int((~near).sum())
+            i, j, same = i[near], j[near], same[near]
+            # a token that both hold sets a common bit or is in excess of the bits of either
+            most = np.bitwise_count(bits[i] & bits[j]).sum(axis=1) + np.minimum(excess[i], excess[j])
+            near = same | (most >= share * (low[i] + low[j]) - 1e-9)
+            if tested is not None:
+                tested[level, "bitmap"] += int((~near).sum())
+            i, j = i[near], j[near]
             if level == 0:
-                near &= _possible(ab[x], alow[x], bb[y], blow[y], threshold)
-            else:
-                # no more shared tokens than the larger sets hold; none where no bit is common
-                near &= (ab[x] & bb[y]).any(axis=1)
-            keep.append(near)
-        near = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
-        i, j = i[near], j[near]
-        if level == 0:
-            if same:
-                i, j = i[i < j], j[i < j]
-            return a.rows[i], b.rows[j]
-        down_a, down_b = level < len(a.levels), level < len(b.levels)
-        level -= 1
-        for mine, tree in ((True, a), (False, b)):
-            if not (down_a if mine else down_b):
+                out_i.append(i)
+                out_j.append(j)
                 continue
-            n = len(tree.levels[level][0])
-            child = (i if mine else j)[:, None] * FANOUT + np.arange(FANOUT)
-            ok = child < n
-            times = ok.sum(axis=1)
-            other = np.repeat(j if mine else i, times)
-            i, j = (child[ok], other) if mine else (other, child[ok])
+            n, m = end[i] - first[i], end[j] - first[j]
+            times = n * m
+            pair = np.repeat(np.arange(len(i)), times)
+            k = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
+            a, b = first[i][pair] + k // m[pair], first[j][pair] + k % m[pair]
+            once = (i != j)[pair] | ((a < b) if level == 1 else (a <= b))
+            todo.append((level - 1, a[once], b[once]))
+        return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _traverse(threshold: float):
     """Within each (token, block, block) of a partition, records that may be similar."""
+    names = ["token", "left", "right", "block", "rep", "size", *BITS]
 
-    def batch_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict, np.ndarray]]:
-        """Columns of whole groups, and where each group begins and ends."""
+    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
+        """Columns of whole groups, and where each group begins."""
         rest = None
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            token, left, right = (batch[k].to_numpy() for k in ("token", "left", "right"))
-            cut = np.flatnonzero((token[1:] != token[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])) + 1
-            whole = int(cut[-1]) if len(cut) else 0
-            if whole:
-                yield columns(batch.iloc[:whole]), np.concatenate([[0], cut])
-            rest = batch.iloc[whole:]
-        if rest is not None and len(rest):
-            yield columns(rest), np.array([0, len(rest)])
-
-    def columns(batch: pd.DataFrame) -> dict:
-        return {
-            "rep": batch["rep"].to_numpy(),
-            "bits": np.stack([batch[b].to_numpy() for b in BITS], axis=1).view(np.uint64),
-            "size": batch["size"].to_numpy().astype(np.int64),
-            "block": batch["block"].to_numpy(),
-            "left": batch["left"].to_numpy(),
-            "right": batch["right"].to_numpy(),
-        }
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for c, edges in batch_groups(batches):
-            found = []
-            start, length = edges[:-1], np.diff(edges)
-            # a group no larger than a node is a leaf: all its pairs at once
-            for n in range(2, FANOUT + 1):
-                at = start[(length == n) & (c["left"][start] == c["right"][start])]
-                x, y = np.triu_indices(n, 1)
-                i, j = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
-                ok = _possible(c["bits"][i], c["size"][i], c["bits"][j], c["size"][j], threshold)
-                found.append((c["rep"][i[ok]], c["rep"][j[ok]]))
-            rest = (length > FANOUT) | ((c["left"][start] != c["right"][start]) & (length > 1))
-            for s, e in zip(start[rest], edges[1:][rest]):
-                part = slice(s, e)
-                bits, size, rep, block = c["bits"][part], c["size"][part], c["rep"][part], c["block"][part]
-                if c["left"][s] == c["right"][s]:
-                    tree = _Tree(bits, size)
-                    x, y = _meets(tree, tree, threshold)
-                    found.append((rep[x], rep[y]))
-                    continue
-                m, o = block == c["left"][s], block == c["right"][s]
-                if m.any() and o.any():
-                    x, y = _meets(_Tree(bits[m], size[m]), _Tree(bits[o], size[o]), threshold)
-                    found.append((rep[m][x], rep[o][y]))
-            a, b = (np.concatenate(z) for z in zip(*found))
-            once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pd.DataFrame({"a": once[:, 0], "b": once[:, 1]})
+            c = {k: batch.column(k).to_numpy() for k in names}
+            if rest is not None:
+                c = {k: np.concatenate([rest[k], c[k]]) for k in names}
+            new = np.zeros(len(c["token"]), dtype=bool)
+            for k in names[:3]:
+                new[1:] |= c[k][1:] != c[k][:-1]
+            at = np.flatnonzero(new)
+            cut = int(at[-1]) if len(at) else 0
+            if cut:
+                yield {k: v[:cut] for k, v in c.items()}, np.concatenate([[0], at])
+            rest = {k: v[cut:] for k, v in c.items()}
+        if rest is not None and len(rest["token"]):
+            yield rest, np.array([0, len(rest["token"])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, edges in whole_groups(batches):
+            n = np.diff(edges)
+            group = np.repeat(np.arange(len(n)), n)
+            # trees: the records of a group, or of either block where two blocks meet; single records meet nobody
+            cross = c["left"] != c["right"]
+            keep = n[group] > 1
+            key = (2 * group + (cross & (c["block"] == c["right"])))[keep]
+            order = np.argsort(key, kind="stable")
+            at = np.flatnonzero(keep)[order]
+            key = key[order]
+            if not len(at):
+                continue
+            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            forest = Forest(np.stack([c[b][at] for b in BITS], axis=1).view(np.uint64), c["size"][at].astype(np.int64), edge)
+            tree = key[edge[:-1]]
+            crossing = cross[at[edge[:-1]]]
+            alone = np.flatnonzero(~crossing)
+            two = np.flatnonzero(crossing[:-1] & (tree[:-1] % 2 == 0) & (tree[1:] == tree[:-1] + 1)) if len(tree) > 1 else alone[:0]
+            i, j = forest.meet(np.concatenate([alone, two]), np.concatenate([alone, two + 1]), threshold)
+            rep = c["rep"][at]
+            once = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(once[:, 0].copy()), pa.array(once[:, 1].copy())], names=["a", "b"])
 
     return run
 
@@ -224,27 +266,27 @@ def similar_pairs(records: DataFrame, members: DataFrame, kind: str, threshold:
     copies = members.where("id <> rep").select("id")
     texts = records.where("text is not null").join(broadcast_if_small(copies, copies.count()), "id", "left_anti")
     reps = texts.select(F.col("id").alias("rep"), F.lower("text").alias("text"))
-    split = F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)) if kind == "words" else F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(3))
-    )
-    counted = records.where("text is not null").select(F.lower("text").alias("text")).select(F.explode(split).alias("atom")).groupBy("atom").count()
-    top = counted.where("count > 1").orderBy(F.desc("count"), "atom").limit(FREQUENT).collect()
-    counts = spark.sparkContext.broadcast({r["atom"]: r["count"] for r in top})
-    sets = checkpointed(
-        reps.select("rep", "text").mapInPandas(_sets(kind, threshold, counts), f"rep long, tokens array<int>, size int, {', '.join(b + ' long' for b in BITS)}, keep int")
-    )
-    keys = sets.select("rep", "size", *BITS, F.explode(F.slice("tokens", F.lit(1), F.col("keep"))).alias("token"))
-    # a hot token is cut into blocks, and every pair of blocks is a task of its own
-    hot = checkpointed(keys.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
-    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
-    routed = (
-        keys.join(broadcast_if_small(hot, hot.count()), "token", "left")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("token", F.least("block", "other").cast("int").alias("left"), F.greatest("block", "other").cast("int").alias("right"), "block", "rep", "size", *BITS)
-    )
-    placed = routed.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
-    maybe = checkpointed(placed.mapInPandas(_traverse(threshold), "a long, b long").distinct())
+    counted = checkpointed(reps.mapInPandas(_sets(kind), "rep long, tokens array<long>, size int, part int, counts binary"))
+    sketch = spark.sparkContext.broadcast(sketch_of(counted))
+    sets = counted.where("part is null").select("rep", "tokens", "size")
+    bits = ", ".join(b + " long" for b in BITS)
+    keys = sets.mapInArrow(_keys(threshold, sketch), f"rep long, size int, least int, {bits}, route array<long>, hot array<long>")
+    # a hot token is cut into blocks, and every pair of blocks is a group of its own; the sketch never counts too few
+    hot = checkpointed(keys.select(F.explode("hot").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    n_hot = hot.count()
+    routed = keys.select(F.explode("route").alias("token"), "rep", "size", "least", *BITS)
+    if n_hot:
+        blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
+        routed = (
+            routed.join(broadcast_if_small(hot, n_hot), "token", "left")
+            .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select("token", F.least("block", "other").cast("int").alias("left"), F.greatest("block", "other").cast("int").alias("right"), "block", "rep", "size", "least", *BITS)
+        )
+    else:
+        routed = routed.select("token", *(F.lit(0).alias(c) for c in ("left", "right", "block")), "rep", "size", "least", *BITS)
+    placed = routed.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "least")
+    maybe = checkpointed(placed.mapInArrow(_traverse(threshold), "a long, b long").distinct())
     wanted = maybe.select(F.col("a").alias("rep")).unionByName(maybe.select(F.col("b").alias("rep"))).distinct()
     whole = sets.join(broadcast_if_small(wanted, 2 * maybe.count()), "rep", "left_semi")
     side = lambda c: whole.select(F.col("rep").alias(c), F.col("tokens").alias("t" + c), F.col("size").alias("s" + c))
