@@ -16,6 +16,7 @@ Surviving pairs are verified on the whole sets.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -84,23 +85,23 @@ def _sets(kind: str):
             yield pd.DataFrame(out, columns=["rep", "tokens", "size"]).assign(part=None, counts=None)
         parts = counts.reshape(PARTS, -1)
         seen = [i for i in range(PARTS) if parts[i].any()]
-        yield pd.DataFrame({"rep": None, "tokens": None, "size": None, "part": seen, "counts": [parts[i].tobytes() for i in seen]})
+        yield pd.DataFrame({"rep": None, "tokens": None, "size": None, "part": seen, "counts": [zlib.compress(parts[i].astype(np.int32), 1) for i in seen]})
 
     return run
 
 
 def _sum(batch: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype=np.int64) for x in batch["counts"])
-    return pd.DataFrame({"part": batch["part"].iloc[:1], "counts": [total.tobytes()]})
+    total = sum(np.frombuffer(zlib.decompress(x), dtype=np.int32).astype(np.int64) for x in batch["counts"])
+    return pd.DataFrame({"part": batch["part"].iloc[:1], "counts": [zlib.compress(np.minimum(total, np.iinfo(np.int32).max).astype(np.int32), 1)]})
 
 
 def sketch_of(sets: DataFrame) -> np.ndarray:
     """The summed sketch: ``PARTS`` rows come to the driver, of ``SKETCH`` numbers in all."""
     summed = sets.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(_sum, "part int, counts binary")
-    out = np.zeros((PARTS, SKETCH // PARTS), dtype=np.int64)
+    out = np.zeros((PARTS, SKETCH // PARTS), dtype=np.int32)
     for r in summed.collect():
-        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int32)
+    return out.ravel()
 
 
 def _keys(threshold: float, sketch):
