@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from textquarry.session import broadcast_if_small, checkpointed, table
 
 #: Bits of a signature; words of 64.
-WORDS = 8
+WORDS = 6
 BITS = [f"b{i}" for i in range(WORDS)]
 #: Children of a tree node, and records of a block of a hot token.
-FANOUT, BLOCK = 4, 1024
+FANOUT, BLOCK = 2, 1024
 #: Counters of the sketch that orders the tokens, and its parts: what is broadcast has this size whatever the corpus.
 SKETCH, PARTS = 1 << 20, 16
 #: Pairs of nodes tested at once.
@@ -105,7 +105,7 @@ def sketch_of(sets: DataFrame) -> np.ndarray:
 
 
 def _keys(threshold: float, sketch):
-    """Size, bitmap, least hash and routing tokens of every set; ``hot`` has those tokens that may have more than a block of records."""
+    """Place (least hash and size), bitmap and routing tokens of every set; ``hot`` has those tokens that may have more than a block of records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = sketch.value
@@ -128,11 +128,12 @@ def _keys(threshold: float, sketch):
             chosen, hot = token[order][first], often[order][first] > BLOCK
             ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
             hots = np.concatenate([[0], np.cumsum(np.bincount(row[first][hot], minlength=len(size)))]).astype(np.int32)
-            least = (token.view(np.uint64)[start] >> np.uint64(33)).astype(np.int32)
+            # sets of a token are arranged by their least hash; the size goes along in the lower half
+            place = ((token.view(np.uint64)[start] >> np.uint64(33)) << np.uint64(32)).astype(np.int64) | size
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), pa.array(size.astype(np.int32)), pa.array(least), *(pa.array(bits[:, w].copy().view(np.int64)) for w in range(WORDS)),
+                [batch.column("rep"), pa.array(place), *(pa.array(bits[:, w].copy().view(np.int64)) for w in range(WORDS)),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen)), pa.ListArray.from_arrays(pa.array(hots), pa.array(chosen[hot]))],
-                names=["rep", "size", "least", *BITS, "route", "hot"],
+                names=["rep", "place", *BITS, "route", "hot"],
             )
 
     return run
@@ -202,7 +203,7 @@ class Forest:
 
 def _traverse(threshold: float):
     """Within each (token, block, block) of a partition, records that may be similar."""
-    names = ["token", "left", "right", "block", "rep", "size", *BITS]
+    names = ["token", "left", "right", "block", "rep", "place", *BITS]
 
     def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
         """Columns of whole groups, and where each group begins."""
@@ -236,7 +237,7 @@ def _traverse(threshold: float):
             if not len(at):
                 continue
             edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            forest = Forest(np.stack([c[b][at] for b in BITS], axis=1).view(np.uint64), c["size"][at].astype(np.int64), edge)
+            forest = Forest(np.stack([c[b][at] for b in BITS], axis=1).view(np.uint64), c["place"][at] & 0xFFFFFFFF, edge)
             tree = key[edge[:-1]]
             crossing = cross[at[edge[:-1]]]
             alone = np.flatnonzero(~crossing)
@@ -271,22 +272,23 @@ def similar_pairs(records: DataFrame, members: DataFrame, kind: str, threshold:
     sketch = spark.sparkContext.broadcast(sketch_of(counted))
     sets = counted.where("part is null").select("rep", "tokens", "size")
     bits = ", ".join(b + " long" for b in BITS)
-    keys = sets.mapInArrow(_keys(threshold, sketch), f"rep long, size int, least int, {bits}, route array<long>, hot array<long>")
+    keys = sets.mapInArrow(_keys(threshold, sketch), f"rep long, place long, {bits}, route array<long>, hot array<long>")
     # a hot token is cut into blocks, and every pair of blocks is a group of its own; the sketch never counts too few
     hot = checkpointed(keys.select(F.explode("hot").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
     n_hot = hot.count()
-    routed = keys.select(F.explode("route").alias("token"), "rep", "size", "least", *BITS)
+    routed = keys.select(F.explode("route").alias("token"), "rep", "place", *BITS)
     if n_hot:
         blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
         routed = (
             routed.join(broadcast_if_small(hot, n_hot), "token", "left")
             .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("token", F.least("block", "other").cast("int").alias("left"), F.greatest("block", "other").cast("int").alias("right"), "block", "rep", "size", "least", *BITS)
+            .select("token", F.least("block", "other").cast("int").alias("left"), F.greatest("block", "other").cast("int").alias("right"), "block", "rep", "place", *BITS)
         )
-    else:
-        routed = routed.select("token", *(F.lit(0).alias(c) for c in ("left", "right", "block")), "rep", "size", "least", *BITS)
-    placed = routed.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "least")
+    groups = ["token", "left", "right"] if n_hot else ["token"]
+    placed = routed.repartition(*groups).sortWithinPartitions(*groups, "place")
+    if not n_hot:
+        placed = placed.select("token", *(F.lit(0).alias(c) for c in ("left", "right", "block")), "rep", "place", *BITS)
     maybe = checkpointed(placed.mapInArrow(_traverse(threshold), "a long, b long").distinct())
     wanted = maybe.select(F.col("a").alias("rep")).unionByName(maybe.select(F.col("b").alias("rep"))).distinct()
     whole = sets.join(broadcast_if_small(wanted, 2 * maybe.count()), "rep", "left_semi")
