@@ -1,17 +1,18 @@
 """Problem 8: text quality statistics of each document, and its shape from them.
 
-The statistics are JVM expressions over the whole text.  Thresholds on them are
-noisy labelling functions, each voting for one shape or abstaining.  Their
-accuracies are learnt by expectation-maximisation on the agreements of the votes:
-documents with equal votes are counted first, so that the iteration runs over the
-vote patterns (at most two to the number of functions, a few hundred in practice)
-and not over documents.  The posterior gives the shape.
+The statistics are JVM expressions over the whole text.  Each labelling function cuts
+one statistic at its thresholds; single cuts are noisy and contradict one another (a
+list in sentences, a table of words, prose with a list in it).  What each function
+says of each type of text, and how common the types are, is learnt by
+expectation-maximisation on the agreements of all documents.  Documents with equal
+answers are counted first: the patterns number at most the product of the levels,
+whatever the size of the corpus, and the iteration runs over them.  A shape has several types; its
+posterior is their sum.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ _NUMBER_ROW = r"(?mU)^[ \t]*(\p{Lu}{0,3}\d[\d.,]*|—)([ \t]+(—|[\d.,]*\d[\d.,
 _CODE_LINE = r"(?m)^[ \t]*([A-Za-z_$][\w.$]*[ \t]*[={(\[:]|[{}\[\]<]|0x[0-9a-fA-F]+).{0,150}$"
 _SYMBOL = r"[^\p{L}\p{N}\s.,;:!?()\"'«»„“”%№°²³·/—–\-+=|•*]"
 _STUTTER = r"(?U)(?<![\w])((\p{L})\2{0,3}|[_.,-]{1,3})(?![\w.,-])"
-_SENTENCE = r"(?U)\p{L}{2,}[»\")]?[.!?…](\s|$)"
+_SENTENCE = r"(?U)\p{L}{2,}[»\")]?[.!?…]+(\s|$)"
 
 
 def _share(column: str, pattern: str) -> Column:
@@ -79,90 +80,117 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
     )
 
 
-# Conditions shared by several functions.
-_TIDY = "symbol_ratio < 0.04 and stutter_share < 0.3 and distinct_lines > 0.4 and code_share < 0.5 and mean_word_length < 20"
-_BULLETED = "bullet_share >= 0.5 and bullet_lines >= 0.6"
-_LAID_OUT = f"({_BULLETED} or line_count >= 2 and cell_share >= 0.5 or number_row_share >= 0.5 or leader_share >= 0.4 or reference_share >= 0.5 or item_share >= 0.6)"
-
-#: name, shape voted for, condition.  The thresholds are the noisy part; EM weighs the functions.
-VOTES = (
-    ("common", "prose", f"common_words >= 0.12 and not {_LAID_OUT} and {_TIDY}"),
-    ("sentences", "prose", f"sentences >= 1 and word_count / nullif(sentences, 0) between 4 and 80 and not {_LAID_OUT} and {_TIDY}"),
-    ("letters", "prose", f"letter_share >= 0.68 and common_words >= 0.06 and not ({_BULLETED}) and {_TIDY}"),
-    ("flow", "prose", f"word_count / line_count >= 8 and common_words >= 0.08 and not ({_BULLETED}) and cell_share < 0.5 and {_TIDY}"),
-    ("bullets", "list", f"{_BULLETED} and line_count >= 2"),
-    ("bullet_lines", "list", "bullet_lines >= 0.7 and line_count >= 3 and bullet_share >= 0.4"),
-    ("leaders", "list", "leader_share >= 0.5"),
-    ("references", "list", "reference_share >= 0.6 and line_count >= 2"),
-    ("items", "list", f"item_share >= 0.7 and line_count >= 3 and common_words < 0.1 and number_row_share < 0.3 and {_TIDY}"),
-    ("short_lines", "list", f"line_count >= 3 and word_count / line_count < 6 and letter_share > 0.5 and common_words < 0.06 and number_row_share < 0.3 and distinct_words > 0.3 and {_TIDY}"),
-    ("cells", "table", "cell_share >= 0.55 and line_count >= 2 and leader_share < 0.3 and distinct_words > 0.3"),
-    ("number_rows", "table", "number_row_share >= 0.5 and line_count >= 2"),
-    ("few_letters", "table", "letter_share < 0.4 and line_count >= 3 and symbol_ratio < 0.04 and leader_share < 0.3 and bullet_share < 0.5 and mean_word_length < 20"),
-    ("symbols", "junk", "symbol_ratio >= 0.04"),
-    ("many_symbols", "junk", "symbol_ratio >= 0.08 and cell_share < 0.5"),
-    ("same_lines", "junk", "line_count >= 4 and distinct_lines <= 0.4"),
-    ("same_words", "junk", "word_count >= 20 and distinct_words <= 0.35 and bullet_share < 0.5 and cell_share < 0.5 and number_row_share < 0.3"),
-    ("few_common", "junk", f"word_count >= 12 and common_words < 0.03 and sentences = 0 and not {_LAID_OUT}"),
-    ("code", "junk", "code_share >= 0.5"),
-    ("long_words", "junk", "mean_word_length >= 20 and leader_share < 0.3 and cell_share < 0.5"),
-    ("stutter", "junk", "stutter_share >= 0.5 and word_count >= 12"),
-    ("no_statement", "junk", f"sentences = 0 and common_words < 0.06 and word_count >= 8 and not {_LAID_OUT} and not (letter_share < 0.4 and {_TIDY})"),
+#: Labelling functions: name, statistic, thresholds.  The answer is the number of thresholds reached.
+FUNCTIONS = (
+    ("common", "common_words", (0.03, 0.12)),
+    ("symbols", "symbol_ratio", (0.04,)),
+    ("lines", "distinct_lines", (0.4,)),
+    ("words", "distinct_words", (0.35,)),
+    ("stutter", "stutter_share", (0.5,)),
+    ("code", "code_share", (0.5,)),
+    ("long", "mean_word_length", (20,)),
+    ("bullets", "bullet_share", (0.5,)),
+    ("cells", "cell_share", (0.5,)),
+    ("rows", "number_row_share", (0.5,)),
+    ("leaders", "leader_share", (0.4,)),
+    ("references", "reference_share", (0.5,)),
+    ("items", "item_share", (0.6,)),
+    ("sentences", "sentences", (1,)),
+    ("letters", "letter_share", (0.4, 0.68)),
+    ("height", "line_count", (2, 3)),
+    ("width", "word_count / line_count", (6,)),
+)
+LEVELS = [len(cuts) + 1 for _, _, cuts in FUNCTIONS]
+_PLAIN = {"bullets": 0, "leaders": 0, "references": 0, "items": 0, "cells": 0, "rows": 0}
+#: Types of text: shape, and the answers that are expected at the start of the learning.
+TYPES = (
+    ("prose", {"common": 2, "sentences": 1, "width": 1, "letters": 2}),
+    ("list", {"bullets": 1, "common": 0}),
+    ("list", {"leaders": 1}),
+    ("list", {"references": 1}),
+    ("list", {"items": 1, "lines": 1, "long": 0, "common": 0, "height": 2, "width": 0, "letters": 2}),
+    ("table", {"cells": 1, "common": 0}),
+    ("table", {"rows": 1, "letters": 0}),
+    ("junk", {"symbols": 1}),
+    ("junk", {"lines": 0, "words": 0}),
+    ("junk", {"words": 0}),
+    ("junk", {"stutter": 1}),
+    ("junk", {"code": 1}),
+    ("junk", {"long": 1, "common": 0, "letters": 2, "items": 0}),
+    ("junk", {"common": 0, "sentences": 0, "letters": 2, "width": 1, **_PLAIN}),
 )
+#: Chance of an expected answer at the start, and what the start weighs against the documents of a type.
+EXPECTED, STRENGTH = 0.9, 20.0
+
 
+def answers(patterns: np.ndarray) -> np.ndarray:
+    """Answers of the functions, from their code in one number."""
+    out = np.zeros((len(patterns), len(LEVELS)), dtype=np.int64)
+    for f in range(len(LEVELS) - 1, -1, -1):
+        patterns, out[:, f] = np.divmod(patterns, LEVELS[f])
+    return out
 
-def fit_votes(patterns: list[tuple[int, int]], rounds: int = 50) -> list[float]:
-    """The accuracy of each labelling function, from (votes as bits, count of documents).
 
-    A function that votes is right with its accuracy and otherwise names one of the
-    other shapes evenly; an abstention says nothing.  Shapes are taken for equally
-    likely beforehand, as rare shapes would else lose every single vote.  Each
-    accuracy has a prior worth twenty votes at 0.85, so that a function that hardly
-    fires stays plausible.
+def fit(given: np.ndarray, count: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Share of each type and, for each function, the chances of its answers by type; ``rounds`` of 0 gives the start.
+
+    The start takes an expected answer for likely and spreads the others evenly, half
+    of it as all documents have them, so that types without documents keep a meaning.
     """
-    accuracy = [0.85] * len(VOTES)
+    start = []
+    for f, (name, _, _) in enumerate(FUNCTIONS):
+        common = np.bincount(given[:, f], weights=count, minlength=LEVELS[f]) / max(count.sum(), 1)
+        p = np.tile(0.5 / LEVELS[f] + 0.5 * common, (len(TYPES), 1))
+        for k, (_, expected) in enumerate(TYPES):
+            if name in expected:
+                p[k] = (1 - EXPECTED) / (LEVELS[f] - 1)
+                p[k, expected[name]] = EXPECTED
+        start.append(p)
+    share, chance = np.full(len(TYPES), 1 / len(TYPES)), start
     for _ in range(rounds):
-        right, fired = [17.0] * len(VOTES), [20.0] * len(VOTES)
-        for bits, count in patterns:
-            post = posterior(bits, accuracy)
-            for j, (_, shape, _) in enumerate(VOTES):
-                if bits >> j & 1:
-                    right[j] += post[shape] * count
-                    fired[j] += count
-        accuracy = [min(0.995, max(0.3, r / f)) for r, f in zip(right, fired)]
-    return accuracy
-
-
-def posterior(bits: int, accuracy: list[float]) -> dict[str, float]:
-    """Probability of each shape; without any vote all are equal, and prose comes first."""
-    logs = dict.fromkeys(SHAPES, 0.0)
-    for j, (_, shape, _) in enumerate(VOTES):
-        if bits >> j & 1:
-            for s in SHAPES:
-                logs[s] += math.log(accuracy[j] if s == shape else (1 - accuracy[j]) / (len(SHAPES) - 1))
-    top = max(logs.values())
-    raw = {s: math.exp(v - top) for s, v in logs.items()}
-    return {s: v / sum(raw.values()) for s, v in raw.items()}
-
-
-def text_shapes(documents: DataFrame) -> DataFrame:
-    """``doc_id, shape, confidence, votes`` and the statistics.
-
-    Null and blank texts have no shape and are left out.
+        weight = posterior(given, share, chance) * count[:, None]
+        share = (weight.sum(axis=0) + STRENGTH) / (weight.sum() + STRENGTH * len(TYPES))
+        chance = []
+        for f in range(len(FUNCTIONS)):
+            seen = np.zeros((LEVELS[f], len(TYPES)))
+            np.add.at(seen, given[:, f], weight)
+            chance.append((seen.T + STRENGTH * start[f]) / (weight.sum(axis=0) + STRENGTH)[:, None])
+    return share, chance
+
+
+def posterior(given: np.ndarray, share: np.ndarray, chance: list[np.ndarray]) -> np.ndarray:
+    """Probability of each type for each pattern of answers."""
+    logs = np.log(share)[None, :] + sum(np.log(chance[f]).T[given[:, f]] for f in range(len(FUNCTIONS)))
+    raw = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return raw / raw.sum(axis=1, keepdims=True)
+
+
+def shapes_of(given: np.ndarray, share: np.ndarray, chance: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Likeliest shape (ties in the order of ``SHAPES``) and its posterior, for each pattern."""
+    types = posterior(given, share, chance)
+    by_shape = np.stack([types[:, [k for k, (t, _) in enumerate(TYPES) if t == shape]].sum(axis=1) for shape in SHAPES], axis=1)
+    return np.array(SHAPES, dtype=object)[by_shape.argmax(axis=1)], by_shape.max(axis=1)
+
+
+def text_shapes(documents: DataFrame, statistics: bool = True) -> DataFrame:
+    """``doc_id, shape, confidence, answers`` and, where wanted, the statistics.
+
+    Null and blank texts have no shape and are left out; repeated documents keep a
+    row each; a statistic that is null reaches no threshold.
     """
     spark = documents.sparkSession
-    bits = sum((F.when(F.coalesce(F.expr(c), F.lit(False)), 1 << j).otherwise(0) for j, (_, _, c) in enumerate(VOTES)), F.lit(0))
-    voted = checkpointed(text_statistics(documents).where("word_count > 0").withColumn("votes", bits))
-    patterns = [(r["votes"], r["n"]) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()]
-    accuracy = fit_votes(sorted(patterns))
-    rows = []
-    for b, _ in patterns:
-        post = posterior(b, accuracy)
-        best = max(SHAPES, key=lambda s: post[s])
-        rows.append((b, best, post[best]))
-    shapes = spark.createDataFrame(rows, "votes int, shape string, confidence double")
-    # one row for each vote pattern: 2 ** 22 at the very most, in practice hundreds
-    return voted.join(F.broadcast(shapes) if len(rows) < 100_000 else shapes, "votes")
+    code = F.lit(0)
+    for (_, statistic, cuts), levels in zip(FUNCTIONS, LEVELS):
+        value = F.expr(statistic)
+        code = code * levels + sum((F.when(value >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    every = text_statistics(documents).where("word_count > 0").withColumn("answers", code)
+    voted = checkpointed(every if statistics else every.select("doc_id", "answers"))
+    patterns = sorted((r["answers"], r["n"]) for r in voted.groupBy("answers").agg(F.count("*").alias("n")).collect())
+    given = answers(np.array([p for p, _ in patterns], dtype=np.int64))
+    shape, confidence = shapes_of(given, *fit(given, np.array([n for _, n in patterns], dtype=float))) if patterns else ((), ())
+    rows = [(p, str(s), float(c)) for (p, _), s, c in zip(patterns, shape, confidence)]
+    # one row for each pattern: at most the product of the levels, half a million
+    return voted.join(F.broadcast(spark.createDataFrame(rows, "answers int, shape string, confidence double")), "answers")
 
 
 def p8_shapes(spark, sf_dir: str) -> DataFrame:
@@ -177,7 +205,8 @@ def p8_statistics(spark, sf_dir: str) -> DataFrame:
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
     """Documents that are not natural prose, with their shape."""
-    return p8_shapes(spark, sf_dir).where("shape <> 'prose'").select("doc_id", "shape")
+    shapes = text_shapes(table(spark, sf_dir, "documents").select("doc_id", "text"), statistics=False)
+    return shapes.where("shape <> 'prose'").select("doc_id", "shape")
 
 
 QUERIES = {"p8_found": p8_found, "p8_shapes": p8_shapes, "p8_statistics": p8_statistics}
