@@ -9,7 +9,7 @@ from textquarry.llm import glyphs, leakage, mixing, neardup, neighbours, quality
 def test_canonical():
     assert glyphs.canonical("ГOСT ５​") == "ГОСТ 5"
     assert glyphs.canonical("й IP54 мм²") == "й IP54 мм²"
-    assert glyphs.canonical("") == "" and glyphs.canonical("Straße", fold=True) == "strasse"
+    assert glyphs.canonical("") == "" and glyphs.folded("Straße") == "strasse"
 
 
 def test_disguised(spark):

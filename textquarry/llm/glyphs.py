@@ -1,16 +1,16 @@
 """Problem 2: one form for text that looks the same but differs in its characters.
 
-``canonical_text`` is the canonicaliser: compatibility normalisation to the
-composed form, mapped white space, removal of default-ignorable characters,
-look-alike letters put back into the script of their word, and full case folding
-where asked for.  It works on Arrow batches and computes each distinct value of a
-batch once.
-
-``disguised_rows`` finds values whose characters differ from the form they look
-like.  A word mixing scripts is plain from the word itself.  A word wholly made of
-look-alike letters (``HB`` or ``HB`` in Cyrillic) is judged by the script that most
-of that word's occurrences have among neighbours of the same script, counted over
-the whole corpus.
+``canonical`` is the canonicaliser of one value: compatibility normalisation to the
+composed form, mapped white space, removal of default-ignorable characters, dashes of
+codes, and look-alike letters put back into the script of their word.  A word wholly
+made of look-alike letters (``HB`` in either alphabet) gets the script that most of its
+occurrences have among neighbours of the same script, counted over the whole corpus.
+``folded`` adds full case folding and compatibility normalisation of signs, for
+comparing.  Values are computed once each: repeated ones of a batch together, short
+ones once a worker.
+
+Both queries use it: ``p2_canonical`` gives the forms, ``p2_found`` the values that
+differ from theirs.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ GREEK_AS_LATIN = "ABEHKMOPTYXaopxvk"
 # Default-ignorable code points, as the inside of a character class.
 IGNORABLE = (
     "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f"
-    "\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8"
+    "\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
 )
 SPACES = "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u0085"
 WIDE = "\uff01-\uff60\uffe0-\uffe6"
@@ -45,7 +45,9 @@ LAT = "A-Za-zëË"
 GRE = "Α-Ωα-ω"
 
 _IGNORABLE = re.compile(f"[{IGNORABLE}]")
-_SPACES = re.compile(f"[{SPACES}\t\x0b\x0c]")
+_SPACES = re.compile(f"[{SPACES}]")
+_CONTROL = re.compile("[\t\x0b\x0c]")
+_WIDE = re.compile(f"[{WIDE}]")
 _MIXED = f"[{CYR}][0-9]*[{LAT}{GRE}]|[{LAT}{GRE}][0-9]*[{CYR}]|[A-Za-z][{GRE}]|[{GRE}][A-Za-z]"
 _ODD = re.compile(f"[A-Za-z{CYR}][{MARKS}]|[{IGNORABLE}{SPACES}{WIDE}]|{_MIXED}")
 _DASH = re.compile(f"[{DASHES}]")
@@ -75,25 +77,52 @@ def _mend(match: re.Match) -> str:
     return word.translate(_TO_CYRILLIC if (own, len(cyrillic)) >= (other, len(foreign)) and cyrillic else _TO_LATIN)
 
 
-def canonical(text: str, fold: bool = False) -> str:
-    """One value in its consistent form.  Signs such as superscripts keep their meaning."""
-    text = _SPACES.sub(" ", _IGNORABLE.sub("", text.replace("\r\n", "\n").replace("\r", "\n")))
-    text = re.sub(f"[{WIDE}]", lambda m: unicodedata.normalize("NFKC", m[0]), text)
-    text = _WORDS.sub(_mend, unicodedata.normalize("NFC", text))
-    return unicodedata.normalize("NFKC", text).casefold() if fold else text
+def plain_breaks(text: str) -> str:
+    """Line ends as LF and control spaces as spaces: differences that are no disguise."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return _CONTROL.sub(" ", text)
 
 
-def canonical_text(column: Column | str, fold: bool = False) -> Column:
-    """``canonical`` over a string column.
+def canonical(text: str, dash: bool = False) -> str:
+    """One value in its consistent form, but for words wholly of look-alikes.  Signs such as superscripts keep their meaning."""
+    text = plain_breaks(text)
+    if _ODD.search(text):
+        text = _SPACES.sub(" ", _IGNORABLE.sub("", text))
+        text = _WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
+        text = _WORDS.sub(_mend, unicodedata.normalize("NFC", text))
+    elif not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return _DASH.sub("-", text) if dash else text
 
-    Null stays null and the empty text stays empty; repeated values of an Arrow
-    batch are computed once.
-    """
+
+def folded(text: str) -> str:
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+
+
+class Known:
+    """Results for short values, kept by the worker: designations, statuses and other values that recur."""
+
+    def __init__(self, compute, most: int = 100_000, length: int = 200) -> None:
+        self.compute, self.most, self.length, self.done = compute, most, length, {}
+
+    def __call__(self, *value):
+        if len(value[0]) > self.length:
+            return self.compute(*value)
+        if value not in self.done:
+            if len(self.done) >= self.most:
+                self.done.clear()
+            self.done[value] = self.compute(*value)
+        return self.done[value]
+
+
+def canonical_text(column: Column | str, fold: bool = False) -> Column:
+    """``canonical`` over a string column, folded where asked for; null stays null and the empty text stays empty."""
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         codes, distinct = pd.factorize(values, use_na_sentinel=True)
-        done = [canonical(v, fold) for v in distinct]
+        done = [folded(canonical(v)) if fold else canonical(v) for v in distinct]
         return pd.Series([None if c < 0 else done[c] for c in codes], dtype=object)
 
     return run(F.col(column) if isinstance(column, str) else column)
@@ -153,69 +182,67 @@ def _minority(parts: DataFrame) -> DataFrame:
     )
 
 
+def _scanned(values: DataFrame, key: list[str], value: str, dash: str) -> DataFrame:
+    """``key, _s``: whether the canonical form of the value differs from it, and the look-alike words of the form."""
+
+    def look(text: str, dashed: bool) -> tuple[bool, list[str]]:
+        form = canonical(text, dashed)
+        return form != plain_breaks(text), _looks(form)
+
+    known = Known(look)
+
+    @F.pandas_udf("odd boolean, looks array<string>")
+    def scan(texts: pd.Series, dashed: pd.Series) -> pd.DataFrame:
+        out = [(False, []) if t is None else known(t, bool(d)) for t, d in zip(texts, dashed)]
+        return pd.DataFrame(out, columns=["odd", "looks"])
+
+    # keys and marks without the texts are read more than once, the texts once
+    return checkpointed(values.select(*key, scan(F.col(value), F.expr(dash)).alias("_s")))
+
+
+def _hidden(scanned: DataFrame, key: list[str]) -> DataFrame:
+    """``key, _w``: the words of a row that are in the script of the minority."""
+    parts = _parts(scanned, key)
+    return parts.join(_minority(parts), ["_skel", "_context", "_script"], "left_semi").select(*key, "_w")
+
+
 def disguised_rows(values: DataFrame, key: list[str], value: str, dash: str = "false") -> DataFrame:
-    """Keys of the rows whose ``value`` holds a disguise.
+    """Keys of the rows whose ``value`` differs from its canonical form by more than line ends, tabs and letter case.
 
-    ``dash`` is a SQL condition telling in which rows a dash other than ``-`` counts.
+    ``dash`` is a SQL condition telling in which rows every dash is ``-``.
     Null and empty values are no case; repeated rows come out as often as they came in.
     """
-
-    @F.pandas_udf("odd boolean, dashed boolean, looks array<string>")
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        codes, distinct = pd.factorize(texts, use_na_sentinel=True)
-        odd = [_ODD.search(t) is not None for t in distinct]
-        dashed = [_DASH.search(t) is not None for t in distinct]
-        looks = [_looks(t) for t in distinct]
-        return pd.DataFrame(
-            {
-                "odd": [c >= 0 and odd[c] for c in codes],
-                "dashed": [c >= 0 and dashed[c] for c in codes],
-                "looks": [looks[c] if c >= 0 else [] for c in codes],
-            }
-        )
-
-    marks = values.withColumn("_s", scan(F.col(value))).withColumn("_odd", F.col("_s.odd") | (F.col("_s.dashed") & F.expr(dash)))
-    # keys and marks without the texts are read three times below, the texts once
-    scanned = checkpointed(marks.select(*key, "_odd", "_s"))
+    scanned = _scanned(values, key, value, dash)
     minority = _minority(_parts(scanned, key))
-    hidden = _parts(scanned.where("not _odd"), key).join(minority, ["_skel", "_context", "_script"], "left_semi").select(*key).distinct()
-    return scanned.where("_odd").select(*key).unionByName(hidden)
+    rest = _parts(scanned.where("not _s.odd"), key).join(minority, ["_skel", "_context", "_script"], "left_semi").select(*key).distinct()
+    return scanned.where("_s.odd").select(*key).unionByName(rest)
 
 
 def canonical_values(values: DataFrame, key: list[str], value: str, fold: str = "false", dash: str = "false") -> DataFrame:
-    """``key, canonical``: the consistent form of each value, whose ``key`` is unique.
+    """``key, canonical, folded``: the consistent form of each value, whose ``key`` is unique, and the form for comparing.
 
-    Words wholly made of look-alike letters get the script that most of their
-    occurrences have in the corpus.  ``fold`` and ``dash`` are SQL conditions telling
-    in which rows letter case is folded and every dash is ``-``.
+    ``fold`` and ``dash`` are SQL conditions telling in which rows ``canonical`` has its
+    case folded too and every dash is ``-``.
     """
 
-    @F.pandas_udf("looks array<string>")
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        codes, distinct = pd.factorize(texts, use_na_sentinel=True)
-        looks = [_looks(canonical(t)) for t in distinct]
-        return pd.DataFrame({"looks": [looks[c] if c >= 0 else [] for c in codes]})
+    def finish(text: str, minority: tuple, fold_: bool, dashed: bool) -> tuple[str, str]:
+        plain = _rewritten(canonical(text, dashed), set(minority))
+        low = folded(plain)
+        return (low if fold_ else plain), low
 
-    @F.pandas_udf("string")
-    def finish(texts: pd.Series, minority: pd.Series, folded: pd.Series, dashed: pd.Series) -> pd.Series:
-        out, done = [], {}
-        for text, marks, f, d in zip(texts, minority, folded, dashed):
-            if text is None:
-                out.append(None)
-                continue
-            at = (text, () if marks is None else tuple(sorted(marks)), f, d)
-            if at not in done:
-                plain = canonical(text)
-                plain = _rewritten(_DASH.sub("-", plain) if d else plain, set(at[1]))
-                done[at] = unicodedata.normalize("NFKC", plain).casefold() if f else plain
-            out.append(done[at])
-        return pd.Series(out, dtype=object)
-
-    # keys and words without the texts are read twice below
-    scanned = checkpointed(values.select(*key, scan(F.col(value)).alias("_s")).where("size(_s.looks) > 0"))
-    parts = _parts(scanned, key)
-    hidden = parts.join(_minority(parts), ["_skel", "_context", "_script"], "left_semi").groupBy(*key).agg(F.collect_set("_w").alias("_m"))
-    return values.join(hidden, key, "left").select(*key, finish(F.col(value), F.col("_m"), F.expr(fold), F.expr(dash)).alias("canonical"))
+    known = Known(finish)
+
+    @F.pandas_udf("canonical string, folded string")
+    def run(texts: pd.Series, minority: pd.Series, folds: pd.Series, dashed: pd.Series) -> pd.DataFrame:
+        out = [
+            (None, None) if t is None else known(t, () if w is None else tuple(sorted(w)), bool(f), bool(d)) for t, w, f, d in zip(texts, minority, folds, dashed)
+        ]
+        return pd.DataFrame(out, columns=["canonical", "folded"])
+
+    scanned = _scanned(values, key, value, dash)
+    hidden = _hidden(scanned.where("size(_s.looks) > 0"), key).groupBy(*key).agg(F.collect_set("_w").alias("_m"))
+    done = values.join(hidden, key, "left").select(*key, run(F.col(value), F.col("_m"), F.expr(fold), F.expr(dash)).alias("_c"))
+    return done.select(*key, "_c.canonical", "_c.folded")
 
 
 def look_alike_values(spark, sf_dir: str) -> DataFrame:
@@ -232,12 +259,12 @@ def look_alike_values(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    """Values with look-alike letters, full-width forms, loose marks, invisible characters or odd spaces."""
+    """Values that differ from their canonical form."""
     return disguised_rows(look_alike_values(spark, sf_dir), ["tab", "row_id", "field"], "value", "field = 'designation'")
 
 
 def p2_canonical(spark, sf_dir: str) -> DataFrame:
-    """Every value in its consistent form, designation and status with full case folding."""
+    """Every value in its consistent form, designation and status with full case folding, and folded for comparing."""
     return canonical_values(look_alike_values(spark, sf_dir), ["tab", "row_id", "field"], "value", "field <> 'text'", "field = 'designation'")
 
 
