@@ -105,6 +105,8 @@ _PLAIN = {"bullets": 0, "leaders": 0, "references": 0, "items": 0, "cells": 0, "
 #: Types of text: shape, and the answers that are expected at the start of the learning.
 TYPES = (
     ("prose", {"common": 2, "sentences": 1, "width": 1, "letters": 2}),
+    ("prose", {"common": 2, "sentences": 0, "width": 1, "letters": 2, **_PLAIN}),
+    ("prose", {"common": 1, "sentences": 1, "width": 1, "letters": 2, **_PLAIN}),
     ("list", {"bullets": 1, "common": 0}),
     ("list", {"leaders": 1}),
     ("list", {"references": 1}),
@@ -119,8 +121,8 @@ TYPES = (
     ("junk", {"long": 1, "common": 0, "letters": 2, "items": 0}),
     ("junk", {"common": 0, "sentences": 0, "letters": 2, "width": 1, **_PLAIN}),
 )
-#: Chance of an expected answer at the start, and what the start weighs against the documents of a type.
-EXPECTED, STRENGTH = 0.9, 20.0
+#: Chance of an expected answer at the start, and what the start weighs, as a share of the documents, so that it counts alike at every size.
+EXPECTED, STRENGTH = 0.9, 0.002
 
 
 def answers(patterns: np.ndarray) -> np.ndarray:
@@ -147,14 +149,15 @@ def fit(given: np.ndarray, count: np.ndarray, rounds: int = 40) -> tuple[np.ndar
                 p[k, expected[name]] = EXPECTED
         start.append(p)
     share, chance = np.full(len(TYPES), 1 / len(TYPES)), start
+    strength = STRENGTH * count.sum()
     for _ in range(rounds):
         weight = posterior(given, share, chance) * count[:, None]
-        share = (weight.sum(axis=0) + STRENGTH) / (weight.sum() + STRENGTH * len(TYPES))
+        share = (weight.sum(axis=0) + strength) / (weight.sum() + strength * len(TYPES))
         chance = []
         for f in range(len(FUNCTIONS)):
             seen = np.zeros((LEVELS[f], len(TYPES)))
             np.add.at(seen, given[:, f], weight)
-            chance.append((seen.T + STRENGTH * start[f]) / (weight.sum(axis=0) + STRENGTH)[:, None])
+            chance.append((seen.T + strength * start[f]) / (weight.sum(axis=0) + strength)[:, None])
     return share, chance
 
 
