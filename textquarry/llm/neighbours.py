@@ -62,12 +62,10 @@ def search_cell(queries: np.ndarray, data: np.ndarray, directions: np.ndarray, k
 
     With ``radius`` only neighbours within that distance are wanted, and no wider round is run.
     """
-    m = len(directions)
+    m, size = len(directions), len(data)
     projected = data @ directions.T
     order = np.argsort(projected, axis=0)
     arrays = np.take_along_axis(projected, order, axis=0)
-    rank = np.empty_like(order, dtype=np.int32)
-    np.put_along_axis(rank, order, np.arange(len(data), dtype=np.int32)[:, None], axis=0)
     need = max(1, round(COLLIDE * m))
     rounds = [r for r in ROUNDS if radius is None or r < radius] + ([radius] if radius else [2.0])
     for at in range(0, len(queries), 256):
@@ -75,21 +73,30 @@ def search_cell(queries: np.ndarray, data: np.ndarray, directions: np.ndarray, k
         centre = block @ directions.T
         live = np.arange(len(block))
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # windows are empty at the query's own place; collisions counted so far
+        low = np.stack([np.searchsorted(arrays[:, p], centre[:, p]) for p in range(m)], axis=1)
+        high = low.copy()
+        count = np.zeros(len(block) * size, dtype=np.uint8)
         for r in rounds:
             if not len(live):
                 break
             if r >= 2.0:  # everything collides
-                candidates = np.ones((len(live), len(data)), dtype=bool)
+                candidates = np.ones((len(live), size), dtype=bool)
             else:
                 # half the width holds the projected difference of vectors at distance r, two deviations wide
                 half = 2.0 * r / np.sqrt(data.shape[1])
-                count = np.zeros((len(live), len(data)), dtype=np.uint8)
+                touched = []
                 for p in range(m):
-                    low = np.searchsorted(arrays[:, p], centre[live, p] - half, "left").astype(np.int32)
-                    high = np.searchsorted(arrays[:, p], centre[live, p] + half, "right").astype(np.int32)
-                    where = rank[:, p]
-                    count += (where >= low[:, None]) & (where < high[:, None])
-                candidates = count >= need
+                    lower = np.searchsorted(arrays[:, p], centre[live, p] - half, "left")
+                    higher = np.searchsorted(arrays[:, p], centre[live, p] + half, "right")
+                    # only what the wider window adds on either side
+                    for first, last in ((lower, low[live, p]), (high[live, p], higher)):
+                        times = last - first
+                        place = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                        touched.append(np.repeat(live * size, times) + order[place, p])
+                    low[live, p], high[live, p] = lower, higher
+                count += np.bincount(np.concatenate(touched), minlength=len(count)).astype(np.uint8)
+                candidates = count.reshape(len(block), size)[live] >= need
             done = []
             i, j = np.nonzero(candidates)
             cosine = np.einsum("ij,ij->i", block[live[i]], data[j]) if len(i) < 40 * len(live) else (block[live] @ data.T)[i, j]
