@@ -19,13 +19,16 @@ def one(spark, value, f, kind="string"):
 
 @pytest.mark.parametrize(
     "text, want",
-    [("шерохова-\nтость поверхности", "шероховатость поверхности"), ("технико-экономический", "технико-экономический"), ("а    б\n\n\n\nв", "а б\n\nв"), ("\r\nа\xa0б", "а б"), ("", ""), (None, None)],
+    [
+        ("подшип-\nник скольжения", "подшипник скольжения"), ("пуско-наладочный", "пуско-наладочный"), ("а    б\n\n\n\nв", "а б\n\nв"), ("\r\nа\xa0б\u202fв\u2007г", "а б в г"), ("", ""), (None, None),
+        ("Т И П Ы  И  РАЗМЕРЫ", "ТИПЫ И РАЗМЕРЫ"), ("А Б", "А Б"), ("А Б ВГ", "А Б ВГ"), ("сбор\u00adка ва\u200bла", "сборка вала"),
+    ],
 )
 def test_clean(spark, text, want):
     assert one(spark, text, clean_page_text) == want
 
 
-@pytest.mark.parametrize("line, want", [("3.2.1 Радиус гибки", "3.2.1"), ("5.1. Маркировка", "5.1"), ("3.2.1", None), ("6 68,103 мм", None), (None, None)])
+@pytest.mark.parametrize("line, want", [("4.7.2 Покрытие вала", "4.7.2"), ("8.3. Хранение", "8.3"), ("4.7.2", None), ("9 12,5 кг", None), (None, None)])
 def test_clause(spark, line, want):
     assert one(spark, line, clause_number) == want
 
@@ -49,9 +52,9 @@ def test_answers(spark):
 def test_metadata(spark):
     assert one(spark, "93", expand_year) == 1993 and one(spark, "15", expand_year) == 2015
     assert one(spark, " Отменен\t", coerce_status) == "отменён" and one(spark, None, coerce_status) == "неизвестно"
-    rows = spark.createDataFrame([("a", "действующий", "x", "t"), ("b", "действующий", None, "t")], "key string, status string, replaced_by string, title string")
-    live = spark.createDataFrame([("a", "заменён", "", "")], "key string, status string, replaced_by string, title string")
-    assert sorted(map(tuple, overlay(rows, live).collect())) == [("a", "заменён", None, "t"), ("b", "действующий", None, "t")]
+    rows = spark.createDataFrame([("a", "действующий", "x", "t", "u"), ("b", "действующий", None, "t", None)], "key string, status string, replaced_by string, title string, source_url string")
+    live = spark.createDataFrame([("a", "заменён", "", "", "v")], "key string, status string, replaced_by string, title string, source_url string")
+    assert sorted(map(tuple, overlay(rows, live).collect())) == [("a", "заменён", None, "t", "v"), ("b", "действующий", None, "t", None)]
     m = spark.createDataFrame([("ГОСТ 5264-80",), ("ГОСТ 24705",)], "mention string")
     a = spark.createDataFrame([("ГОСТ 5264-2019",), ("ГОСТ 24705-2004",)], "designation string")
     got = {r["mention"]: (r["matched"], r["alternatives"]) for r in resolve(m, a).collect()}

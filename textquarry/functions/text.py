@@ -13,15 +13,23 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, STRIP, "")
 
 
+# Characters that cleaning deletes, and those that it reads as a space.
+DELETED = "[\\u00ad\\u200b]"
+ODD_SPACES = "[\\u00a0\\u202f\\u2007]"
+# A plain space between capitals that stand alone, at least three in a row.
+SPACED_CAPITALS = r"(?U)(?<=\b[А-ЯЁ]) (?=[А-ЯЁ]\s[А-ЯЁ]\b)|(?<=\b[А-ЯЁ]\s[А-ЯЁ]) (?=[А-ЯЁ]\b)"
+
+
 def clean_page_text(c: Column) -> Column:
-    """Line ends, soft hyphens, odd spaces, wrapped words, blank runs; null stays null."""
+    """Line ends, soft hyphens, odd spaces, wrapped words, spaced capitals, blank runs; null stays null, the empty text empty."""
     c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, "[\u00ad\u200b]", "")
-    c = F.regexp_replace(c, "[   ]", " ")
-    c = F.regexp_replace(c, r"([\p{L}\p{N}_])[-‐‑][ \t]*\n\s*([\p{L}\p{N}_])", "$1$2")
+    c = F.regexp_replace(c, DELETED, "")
+    c = F.regexp_replace(c, ODD_SPACES, " ")
+    c = F.regexp_replace(c, r"(?U)(\w)[-‐‑]\s*\n\s*(\w)", "$1$2")
+    c = F.regexp_replace(c, SPACED_CAPITALS, "")
     c = F.regexp_replace(c, r"[ \t]{2,}", " ")
-    c = F.regexp_replace(c, r"(?m)^[ \t]+|[ \t]+$", "")
-    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
+    c = F.regexp_replace(c, r"(?U)(?m)^[\s&&[^\n]]+|[\s&&[^\n]]+$", "")
+    return stripped(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
 def clause_number(line: Column) -> Column:
@@ -32,7 +40,7 @@ def clause_number(line: Column) -> Column:
 
 
 def approx_tokens(c: Column) -> Column:
-    return F.greatest(F.lit(1), F.expr("0") + (F.length(c) / 3).cast("int"))
+    return F.greatest(F.lit(1), (F.length(c) / 3).cast("int"))
 
 
 def numbers(c: Column) -> Column:
