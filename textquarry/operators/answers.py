@@ -5,35 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import canonical_number, citation_ids, numbers, strip_citations
+from textquarry.functions.text import canonical_number, citation_ids, numbers, strip_citations, stripped
+from textquarry.operators.metadata import _RE2_LOOSE, LOOSE
 from textquarry.operators.search import q_dense, q_hybrid
 from textquarry.session import table
 
-# Phrases by which an answer says that it has none.
-NO_ANSWER = r"(не найден|нет (данных|сведений|информации)|не содержит|not found|no information)"
+# Phrases by which the beginning of an answer says that it has none.
+NO_ANSWER = (
+    r"(?iU)ответа\s+нет|нет\s+ответа|нет\s+(?:сведений|данных)|(?:сведени|данны)\w*\s[^.]{0,80}?(?:нет|отсутству)"
+    r"|не\s+содерж|отсутству|не\s+указан|не\s+привод|невозможно"
+)
+# Letters that look alike, and dashes, in their order; Cyrillic to Latin.
+LOOK_ALIKE = "АВЕКМНОРСТХІУаеорсхуі−–—"
+LOOKS_AS = "ABEKMHOPCTXIYaeopcxyi---"
 
 
 def says_no_answer(answer: Column) -> Column:
-    first = F.substring(strip_citations(F.split(answer, "\n\n")[0]), 1, 400)
-    return F.lower(first).rlike(NO_ANSWER)
+    """Whether the first paragraph, without markers, says within 400 characters that there is no answer; null stays null."""
+    first = F.substring(F.regexp_replace(F.substring_index(stripped(answer), "\n\n", 1), r"\[S\d+\]", ""), 1, 400)
+    return first.rlike(NO_ANSWER)
 
 
 def ungrounded(answer: Column, *grounds: Column) -> Column:
-    """Numbers of the answer, as written, that no ground holds in canonical form."""
+    """Numbers of the answer, as written but unsigned, that no ground holds in canonical form.
+
+    Markers and names of standards are no numbers of the answer; each is reported once.
+    """
     allowed = F.transform(F.flatten(F.array(*[numbers(F.coalesce(g, F.lit(""))) for g in grounds])), canonical_number)
-    return F.array_distinct(F.filter(numbers(strip_citations(answer)), lambda x: ~F.array_contains(allowed, canonical_number(x))))
+    body = F.regexp_replace(F.regexp_replace(answer, r"\[S\d+\]", " "), LOOSE, " ")
+    written = F.transform(numbers(body), lambda x: F.regexp_replace(x, r"^[-+±]+", ""))
+    return F.array_distinct(F.filter(written, lambda x: ~F.array_contains(allowed, canonical_number(x))))
 
 
 def normalize_answer(c: Column) -> Column:
-    """Lower case, one alphabet, one dash, decimal comma, no white space."""
-    low = F.translate(F.lower(c), "ёаеорсухкмтвн–—‑", "eaeopcyxkmtbh---")
-    return F.regexp_replace(F.regexp_replace(low, r"(\d)\.(\d)", "$1,$2"), r"\s+", "")
+    """One alphabet, one dash, lower case, decimal comma, no white space."""
+    low = F.lower(F.translate(F.translate(c, "ёЁ", "еЕ"), LOOK_ALIKE, LOOKS_AS))
+    return F.regexp_replace(F.regexp_replace(low, r"(?U)(?<=\d)\.(?=\d)", ","), r"(?U)\s+", "")
+
+
+def holds(text: Column, needle: Column) -> Column:
+    """Whether the text holds the needle; one that begins with a digit must not continue a number.  The empty needle is held."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    guarded = F.exists(
+        at, lambda i: (F.substring(text, i, F.length(needle)) == needle) & ~F.when(i > 1, F.substring(text, i - 1, F.lit(1)).rlike(r"[\d,]")).otherwise(F.lit(False))
+    )
+    return (needle == "") | F.when(needle.rlike(r"^\d"), F.contains(text, needle) & guarded).otherwise(F.contains(text, needle))
 
 
 def answer_is_correct(answer: Column, expected: Column) -> Column:
     """All groups must hold, each by any of its spellings; nothing expected gives null."""
     text = normalize_answer(answer)
-    inside = F.forall(expected, lambda group: F.exists(group, lambda e: F.contains(text, normalize_answer(e))))
+    inside = F.forall(expected, lambda group: F.exists(group, lambda e: holds(text, normalize_answer(e))))
     return F.when(F.size(expected) > 0, inside)
 
 
@@ -83,7 +105,7 @@ def q_correct(spark, sf):
 
 
 def q_split(spark, sf):
-    return table(spark, sf, "eval_items").select("item_id", split_of(F.col("item_id"), F.col("split")).alias("split"))
+    return table(spark, sf, "eval_items").select("item_id", split_of(F.col("id"), F.col("split")).alias("split"))
 
 
 def q_recall(spark, sf):
@@ -124,7 +146,9 @@ _IDS = "i AS (SELECT item_id, unnest(regexp_extract_all(answer, '\\[S(\\d+)\\]',
 _STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace({c}, '\[S\d+\]', '', 'g'), ' {{2,}}', ' ', 'g'), ' +([.,;:])', '\1', 'g'))"
 _NUMS = r"regexp_extract_all({c}, '(^|[^\pL\pN_,.])([-+±]?\d+([.,]\d+)?)', 2)"
 _CANON = r"replace(regexp_replace({x}, '^[-+±]', ''), '.', ',')"
-_NORM = r"regexp_replace(regexp_replace(translate(lower({c}), 'ёаеорсухкмтвн–—‑', 'eaeopcyxkmtbh---'), '(\d)\.(\d)', '\1,\2', 'g'), '\s+', '', 'g')"
+_NORM = r"regexp_replace(list_reduce(range(2), lambda t, i: regexp_replace(t, '(\d)\.(\d)', '\1,\2', 'g'), lower(translate(translate({c}, 'ёЁ', 'еЕ'), '" + LOOK_ALIKE + "', '" + LOOKS_AS + r"'))), '\s+', '', 'g')"
+_HOLDS = r"(CASE WHEN regexp_matches({n}, '^\d') THEN regexp_matches({t}, '(^|[^\d,])' || regexp_escape({n})) ELSE contains({t}, {n}) END)"
+_NO_ANSWER_SQL = "regexp_matches(substr(regexp_replace(string_split(trim({c}), E'\\n\\n')[1], '\\[S\\d+\\]', '', 'g'), 1, 400), '" + NO_ANSWER.replace("(?iU)", "(?i)").replace("{0,80}", "{{0,80}}").replace("\\w", "[\\pL\\pN_]") + "')"
 
 
 def _with_search(tail: str) -> str:
@@ -141,12 +165,12 @@ QUERIES = {
 ORACLES = {
     "used_citations": f"WITH {_A}, {_IDS} SELECT item_id, coalesce(string_agg(s, ',' ORDER BY k) FILTER (s BETWEEN 1 AND 6), '') AS used, coalesce(string_agg(s, ',' ORDER BY k) FILTER (s NOT BETWEEN 1 AND 6), '') AS invalid FROM f GROUP BY 1",
     "strip_citations": f"WITH {_A} SELECT item_id, {_STRIP.format(c='answer')} AS answer FROM a",
-    "ungrounded_numbers": f"""WITH n AS (SELECT item_id, {_NUMS.format(c=_STRIP.format(c='passage'))} AS ns, list_transform(list_concat({_NUMS.format(c="coalesce(question, '')")}, {_NUMS.format(c="coalesce(gold_section, '')")}), lambda x: {_CANON.format(x='x')}) AS ok FROM eval_items),
+    "ungrounded_numbers": f"""WITH n AS (SELECT item_id, list_transform({_NUMS.format(c="regexp_replace(regexp_replace(passage, '\\[S\\d+\\]', ' ', 'g'), '" + _RE2_LOOSE + "', ' ', 'g')")}, lambda x: regexp_replace(x, '^[-+±]+', '')) AS ns, list_transform(list_concat({_NUMS.format(c="coalesce(question, '')")}, {_NUMS.format(c="coalesce(gold_section, '')")}), lambda x: {_CANON.format(x='x')}) AS ok FROM eval_items),
       u AS (SELECT item_id, ok, unnest(ns) AS x, generate_subscripts(ns, 1) AS k FROM n), f AS (SELECT item_id, x, min(k) AS k FROM u WHERE NOT list_contains(ok, {_CANON.format(x='x')}) GROUP BY 1, 2), g AS (SELECT item_id, string_agg(x, ';' ORDER BY k) AS s FROM f GROUP BY 1)
       SELECT e.item_id, coalesce(s, '') AS ungrounded FROM eval_items e LEFT JOIN g USING (item_id)""",
-    "no_answer_flag": f"SELECT doc_id, regexp_matches(lower(substr({_STRIP.format(c=chr(115) + chr(116) + 'ring_split(text, E' + chr(39) + '\\n\\n' + chr(39) + ')[1]')}, 1, 400)), '{NO_ANSWER}') AS says_no_answer FROM documents WHERE text IS NOT NULL",
-    "answer_match": f"SELECT item_id, CASE WHEN len(answer_contains) > 0 THEN len(list_filter(answer_contains, lambda g: len(list_filter(g, lambda e: contains({_NORM.format(c='passage')}, {_NORM.format(c='e')}))) = 0)) = 0 END AS correct FROM eval_items",
-    "split_of": "SELECT item_id, coalesce(split, CASE WHEN ('0x' || substr(sha1(item_id::VARCHAR), 1, 2))::INT % 2 = 0 THEN 'tune' ELSE 'test' END) AS split FROM eval_items",
+    "no_answer_flag": f"SELECT doc_id, {_NO_ANSWER_SQL.format(c='text')} AS says_no_answer FROM documents WHERE text IS NOT NULL",
+    "answer_match": f"SELECT item_id, CASE WHEN len(answer_contains) > 0 THEN len(list_filter(answer_contains, lambda g: len(list_filter(g, lambda e: {_HOLDS.format(t=_NORM.format(c='passage'), n=_NORM.format(c='e'))})) = 0)) = 0 END AS correct FROM eval_items",
+    "split_of": "SELECT item_id, coalesce(split, CASE WHEN ('0x' || substr(sha1(id), 1, 2))::INT % 2 = 0 THEN 'tune' ELSE 'test' END) AS split FROM eval_items",
     "recall_mrr": _with_search(""", v AS (SELECT vec_id, doc_id FROM chunk_vectors JOIN chunks USING (chunk_id)), h AS (SELECT f.query, min(CASE WHEN g.doc_id = i.doc_id THEN rank END) AS r FROM fused f JOIN v g ON g.vec_id = f.query JOIN v i ON i.vec_id = f.item GROUP BY 1)
       SELECT count(*) AS queries, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 6 THEN 1.0 ELSE 0.0 END), 6) AS recall_6, round(avg(CASE WHEN r <= 30 THEN 1.0 ELSE 0.0 END), 6) AS recall_30, round(avg(coalesce(1.0 / r, 0.0)), 6) AS mrr FROM h"""),
     "gate_sweep": _with_search(_SWEEP + " SELECT threshold, answer_rate, refusal_rate, balanced FROM b"),

@@ -51,7 +51,7 @@ def find_designations(text: Column) -> Column:
     """All designations of a question, the year left out where it isn't given, in order of first occurrence."""
     parts = [F.regexp_extract_all(text, F.lit(LOOSE), F.lit(g)) for g in (1, 2, 3, 4)]
     zipped = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "piny")))
-    return F.array_distinct(F.transform(zipped, lambda m: plain_designation(m["0"], m["1"], m["2"], m["3"])))
+    return F.array_distinct(F.transform(zipped, lambda m: plain_designation(m["p"], m["i"], m["n"], m["y"])))
 
 
 def expand_year(digits: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textquarry.operators import answers, corpus, metadata, packing, search, structure
+from textquarry.operators import answers, corpus, metadata, packing, questions, search, structure
 
-MODULES = [search, metadata, corpus, packing, structure, answers]
+MODULES = [search, metadata, corpus, packing, structure, answers, questions]
 
 
 def queries() -> dict:
