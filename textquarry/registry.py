@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textquarry.operators import answers, corpus, metadata, packing, questions, search, structure
+from textquarry.operators import answers, corpus, evaluation, metadata, packing, questions, search, structure
 
-MODULES = [search, metadata, corpus, packing, structure, answers, questions]
+MODULES = [search, metadata, corpus, packing, structure, answers, questions, evaluation]
 
 
 def queries() -> dict:
