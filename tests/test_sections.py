@@ -28,7 +28,7 @@ def test_sections_carry_over_pages(spark):
     lines = [("1 Область применения", 1), ("продолжение", 1), ("продолжение", 2), ("7 мест для хранения", 2), ("1.1 Требования", 3), ("ещё", 4), ("2 Правила приёмки", 5), ("ещё", 6)]
     df = spark.createDataFrame([(n, "a", n, page, text) for n, (text, page) in enumerate(lines)] + [(99, "b", 0, 1, "без пункта"), (98, "b", 1, 1, None)], "block_id long, doc_id string, block_seq int, page_no int, text string")
     for segment in (1, 3, 256):
-        got = {r["block_id"]: r["section"] for r in structure.inherited(df, structure.clause_chain(df), segment).collect()}
+        got = {r["block_id"]: r["section"] for r in structure.inherited(df, structure.clause_chain(structure.openings(df)), segment).collect()}
         assert got == {0: "1", 1: "1", 2: "1", 3: "1", 4: "1.1", 5: "1.1", 6: "2", 7: "2", 98: None, 99: None}
 
 
