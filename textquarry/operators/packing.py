@@ -62,6 +62,8 @@ def packs(pieces: DataFrame, budget: int = BUDGET, overlap: int = OVERLAP, least
     costs alone, a document in order; its state of at most one chunk passes from one
     Arrow batch to the next, so a document of any size is folded in ordered segments.
     """
+    if overlap >= budget:
+        raise ValueError(f"overlap {overlap} must be less than the budget {budget}")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, index, current, filled, carried = None, 0, [], 0, 0

@@ -62,7 +62,7 @@ def _frame(query, item, score) -> pd.DataFrame:
 def _few_topk(spark, q: DataFrame, d: DataFrame, k: int) -> DataFrame:
     """Top-k of broadcast queries: the corpus isn't shuffled, each partition sends its best alone."""
     rows = q.select("id", "v").toPandas()  # at most FEW_QUERIES, counted by the caller
-    asked = spark.sparkContext.broadcast((rows["id"].to_numpy(), _unit(rows["v"])))
+    asked = spark.sparkContext.broadcast((rows["id"].to_numpy(), _unit(rows["v"]) if len(rows) else np.zeros((0, 1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qid, qv = asked.value

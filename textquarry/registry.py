@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textquarry.operators import answers, corpus, evaluation, metadata, packing, questions, search, structure, tables
+from textquarry.operators import answers, corpus, evaluation, ingest, metadata, packing, questions, search, structure, tables
 
-MODULES = [search, metadata, corpus, packing, structure, answers, questions, evaluation, tables]
+MODULES = [search, metadata, corpus, packing, structure, answers, questions, evaluation, tables, ingest]
 
 
 def queries() -> dict:

@@ -24,10 +24,12 @@ def local_session(app: str = "textquarry", cores: str = "*", partitions: int = 8
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where none is set and all runs on this machine."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="textquarry-"))
     return configured or sc.getCheckpointDir()
 
