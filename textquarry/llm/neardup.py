@@ -361,4 +361,15 @@ def p5_groups(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
-ORACLES: dict[str, str] = {}
+_PAIRS = r"""RECURSIVE src AS (SELECT 'chunks' AS tab, chunk_id AS id, lower(text) AS t, 0.6 AS least FROM chunks WHERE text IS NOT NULL UNION ALL SELECT 'doc_meta', meta_id, lower(designation || ' ' || title), 0.7 FROM doc_meta WHERE designation IS NOT NULL AND title IS NOT NULL),
+ reps AS (SELECT tab, t, min(id) AS rep, any_value(least) AS least FROM src GROUP BY 1, 2), w AS (SELECT *, CASE tab WHEN 'chunks' THEN regexp_extract_all(t, '[\pL\pN_]+') END AS ws FROM reps),
+ tok AS (SELECT DISTINCT tab, rep, least, unnest(CASE tab WHEN 'chunks' THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) ELSE list_transform(range(1, length(t) - 1), lambda i: substr(t, i::BIGINT, 3)) END) AS g FROM w),
+ n AS (SELECT tab, rep, count(*) AS n FROM tok GROUP BY 1, 2), c AS (SELECT a.tab, a.rep AS a, b.rep AS b, any_value(a.least) AS least, count(*) AS common FROM tok a JOIN tok b ON a.tab = b.tab AND a.g = b.g AND a.rep < b.rep GROUP BY 1, 2, 3),
+ pairs AS (SELECT c.tab, a, b FROM c JOIN n x ON x.tab = c.tab AND x.rep = a JOIN n y ON y.tab = c.tab AND y.rep = b WHERE common >= (least - 1e-9) * (x.n + y.n - common)),
+ mem AS (SELECT s.tab, s.id, r.rep FROM src s JOIN reps r ON r.tab = s.tab AND r.t = s.t)"""
+ORACLES = {
+    "p5_found": f"WITH {_PAIRS} SELECT p.tab, least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM pairs p JOIN mem x ON x.tab = p.tab AND x.rep = a JOIN mem y ON y.tab = p.tab AND y.rep = b",
+    "p5_groups": f"""WITH {_PAIRS}, e AS (SELECT tab, a, b FROM pairs UNION ALL SELECT tab, b, a FROM pairs), reach AS (SELECT tab, rep, rep AS node FROM reps UNION SELECT reach.tab, reach.rep, e.b FROM reach JOIN e ON e.tab = reach.tab AND e.a = reach.node),
+      g AS (SELECT tab, rep, min(node) AS group_id FROM reach GROUP BY 1, 2), l AS (SELECT tab, a AS rep, count(*) AS links FROM e GROUP BY 1, 2)
+      SELECT mem.tab, id, mem.rep, group_id, coalesce(links, 0) AS links FROM mem JOIN g ON g.tab = mem.tab AND g.rep = mem.rep LEFT JOIN l ON l.tab = mem.tab AND l.rep = mem.rep""",
+}
