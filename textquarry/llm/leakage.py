@@ -6,6 +6,11 @@ texts.  In every window of the test text that a match must cover whole, the rare
 term is the anchor; anchor postings give offset-adjusted diagonals (document
 position less test offset), and on these diagonals the lists of all terms are
 intersected, so that a match is a run of consecutive terms on one diagonal.
+Questions of fewer than five words are one term each, of their own length.
+
+Proximity matches take all postings of a document and a test text: terms that follow
+one another closely on neighbouring diagonals form a cluster, so that a passage with words
+changed, left out or inserted every few words is found by the words that it keeps.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from textquarry.session import broadcast_if_small, checkpointed, pinned, table
 TERM = 5
 #: Consecutive words of a passage that make a leak.
 RUN = 18
+#: In a proximity match: words between two terms, words by which diagonals may differ from one term to the next, and least share of kept words.
+GAP, DRIFT, KEPT = 12, 4, 0.5
 
 
 def normal_words(column: Column) -> Column:
@@ -46,7 +53,7 @@ def test_terms(items: DataFrame) -> DataFrame:
 
     ``low`` counts the words that begin before the term, ``high`` those that end with
     it, so that ``high - low`` over a run counts the whole words in it; ``n`` is the
-    number of terms of the text.  Texts under five words have no term.
+    number of terms of the text.  Texts under five words have no term here.
     """
     texts = items.select("item_id", F.explode(F.create_map(F.lit("passage"), "passage", F.lit("question"), "question")).alias("kind", "text"))
     words = pinned(texts.where("text is not null"), "words", normal_words(F.col("text")))
@@ -64,20 +71,62 @@ def test_terms(items: DataFrame) -> DataFrame:
     )
 
 
+def document_tokens(documents: DataFrame) -> DataFrame:
+    """``doc_id, t``: the tokens of each text in comparison form."""
+    text = F.concat_ws(" ", normal_words(F.col("text")))
+    return pinned(documents.where("text is not null"), "t", _tokens(text)).select("doc_id", "t")
+
+
 def postings(documents: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """``h, doc_id, pos`` of every occurrence in the corpus of a term of the test texts."""
-    text = F.concat_ws(" ", normal_words(F.col("text")))
-    tokens = pinned(documents.where("text is not null"), "t", _tokens(text))
-    every = tokens.select("doc_id", F.posexplode(_terms(F.col("t"))).alias("pos", "h"))
+    every = document_tokens(documents).select("doc_id", F.posexplode(_terms(F.col("t"))).alias("pos", "h"))
     return every.join(broadcast_if_small(terms.select("h").distinct(), n_terms), "h", "left_semi")
 
 
+def short_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, item_id, kind, words, whole``: documents that hold a whole question of one to four words."""
+    tokens = _tokens(F.concat_ws(" ", normal_words(F.col("question"))))
+    short = checkpointed(pinned(items.where("question is not null"), "t", tokens).where(F.size("t").between(1, TERM - 1)).select("item_id", F.size("t").alias("n"), F.xxhash64(F.array_join("t", " ")).alias("h")))
+    parts = []
+    for r in short.select("n").distinct().collect():  # at most four lengths
+        n = r["n"]
+        grams = F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("t", i, n), " "))))  # noqa: B023
+        held = document_tokens(documents).select("doc_id", F.explode(F.array_distinct(grams)).alias("h"))
+        parts.append(held.join(F.broadcast(short.where(F.col("n") == n)), "h").select("doc_id", "item_id", F.lit("question").alias("kind"), F.col("n").alias("words"), F.lit(True).alias("whole")))  # questions under five words
+    if not parts:
+        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, kind string, words int, whole boolean")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def near_leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
+    """``doc_id, item_id, kind, words, span``: proximity matches that keep at least ``run`` words, half of those that they span.
+
+    ``words`` are the words of the document within matched terms.  Exact runs are proximity matches too.
+    Null and blank texts take no part; of several clusters the one that keeps most words is reported.
+    """
+    terms = checkpointed(test_terms(items))
+    n_terms = terms.count()
+    index = postings(documents, terms, n_terms)
+    hits = index.join(broadcast_if_small(terms.select("h", "item_id", "kind", "off"), n_terms), "h").select("doc_id", "item_id", "kind", "pos", (F.col("pos") - F.col("off")).alias("diag"))
+    order = Window.partitionBy("doc_id", "item_id", "kind").orderBy("pos", "diag")
+    apart = (F.col("pos") - F.lag("pos").over(order) > GAP + TERM) | (F.abs(F.col("diag") - F.lag("diag").over(order)) > DRIFT)
+    marked = hits.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("cluster", F.sum("new").over(order))
+    inside = Window.partitionBy("doc_id", "item_id", "kind", "cluster").orderBy("pos", "diag")
+    kept = F.coalesce(F.least(F.lit(TERM), F.col("pos") - F.lag("pos").over(inside)), F.lit(TERM))
+    found = marked.withColumn("kept", kept).groupBy("doc_id", "item_id", "kind", "cluster").agg(F.sum("kept").cast("int").alias("words"), (F.max("pos") - F.min("pos") + TERM).cast("int").alias("span"))
+    good = found.where((F.col("words") >= run) & (F.col("words") >= KEPT * F.col("span")))
+    best = good.groupBy("doc_id", "item_id", "kind").agg(F.max(F.struct("words", (-F.col("span")).alias("least"))).alias("b"))
+    return best.select("doc_id", "item_id", "kind", F.col("b.words").alias("words"), (-F.col("b.least")).alias("span"))
+
+
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """``doc_id, item_id, kind, words, whole``: the longest common run of each document and test text.
 
     Reported are runs of at least ``run`` words of a passage, and whole questions.
-    Null and blank texts take no part; repeated documents are each reported;
-    questions of fewer than five words are too short to tell a leak.
+    Null and blank texts take no part; repeated documents are each reported.
     """
     terms = checkpointed(test_terms(items))
     n_terms = terms.count()
@@ -104,11 +153,12 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
         .groupBy("doc_id", "item_id", "kind", "diag", "island")
         .agg((F.max("high") - F.min("low")).alias("words"), (F.count("*") == F.first("n")).alias("whole"))
     )
-    return (
+    long = (
         runs.groupBy("doc_id", "item_id", "kind")
-        .agg(F.max("words").alias("words"), F.max("whole").alias("whole"))
+        .agg(F.max("words").cast("int").alias("words"), F.max("whole").alias("whole"))
         .where(((F.col("kind") == "passage") & (F.col("words") >= run)) | ((F.col("kind") == "question") & F.col("whole")))
     )
+    return long.unionByName(short_leaks(documents, items))
 
 
 def p6_leaks(spark, sf_dir: str) -> DataFrame:
@@ -121,5 +171,10 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
     return p6_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_leaks": p6_leaks}
+def p6_near(spark, sf_dir: str) -> DataFrame:
+    """Proximity matches of passages and questions in documents."""
+    return near_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "question", "passage"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_leaks": p6_leaks, "p6_near": p6_near}
 ORACLES: dict[str, str] = {}

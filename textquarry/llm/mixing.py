@@ -30,12 +30,16 @@ BUCKET = 20_000
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, key, tokens``; null texts have no token and keep their row."""
+    """``doc_id, source, key, tokens``; null texts have no token and keep their row.  The tokenizer's file is sent to the executors."""
+
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
@@ -108,7 +112,12 @@ def route(supply: dict[tuple[str, ...], int], quotas: dict[str, int], caps: dict
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str = TOKENIZER) -> DataFrame:
-    """``mix_id, source, doc_id, repeats, tokens``: the documents of each mix.
+    """``mix_id, source, doc_id, repeats, tokens``: the documents of each mix (see ``mixed``)."""
+    return mixed(documents, targets, seed, path)[0]
+
+
+def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str = TOKENIZER) -> tuple[DataFrame, int]:
+    """``mix_id, source, doc_id, repeats, tokens``: the documents of each mix, and the tokens of all documents.
 
     A text collected in several sources is one text: its uses over all sources stay
     within the least cap of the targeted sources that hold it.  Texts are never cut,
@@ -144,27 +153,35 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str = TOK
                     stretches += [("\n".join(p), mix_id, s, lap, at - lap * sizes[p][0], at + amount - lap * sizes[p][0]) for lap in range(laps)]
                     at += amount
     plan = spark.createDataFrame([x for x in stretches if x[5] > 0], "pattern string, mix_id int, source string, lap int, low long, high long")
-    n_buckets = F.create_map(*(F.lit(v) for p, (_, n) in sizes.items() for v in ("\n".join(p), 1 + n // BUCKET))) if sizes else F.lit(None)
     # running sums over a pattern of any size: buckets along the seeded order, then within each bucket
-    bucket = F.floor((F.col("draw").cast("double") / F.lit(2.0**64) + 0.5) * (n_buckets[F.col("pattern")] if sizes else F.lit(1))).cast("int")
-    line = placed.withColumn("bucket", bucket)
+    many = placed.groupBy("pattern").agg((1 + F.floor(F.count("*") / BUCKET)).alias("buckets"))
+    bucket = F.floor((F.col("draw").cast("double") / F.lit(2.0**64) + 0.5) * F.col("buckets")).cast("int")
+    line = placed.join(broadcast_if_small(many, len(sizes)), "pattern").withColumn("bucket", bucket)
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     steps = line.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("t")).select("pattern", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("from"))
     within = Window.partitionBy("pattern", "bucket").orderBy("draw", "key").rowsBetween(Window.unboundedPreceding, -1)
     laid = line.withColumn("at", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(steps, ["pattern", "bucket"])
     laid = laid.withColumn("start", F.col("from") + F.col("at"))
     drawn = laid.join(broadcast_if_small(plan, len(stretches)), "pattern").where("start >= low and start < high")
-    return drawn.groupBy("mix_id", "source", F.element_at("held", F.col("source")).alias("doc_id"), "tokens").agg(F.count("*").cast("int").alias("repeats")).select(
+    selection = drawn.groupBy("mix_id", "source", F.element_at("held", F.col("source")).alias("doc_id"), "tokens").agg(F.count("*").cast("int").alias("repeats")).select(
         "mix_id", "source", "doc_id", "repeats", "tokens"
     )
+    return selection, total
 
 
-def shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target and actual share of each source of each mix, with its tokens and documents."""
+def shares(selection: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+    """Target and actual share of each source of each mix, with its tokens and documents.
+
+    With the ``total`` of all documents' tokens also ``asked_tokens`` and the share of them that
+    was filled: a source without enough text raises the actual shares of the others, not what they fill.
+    """
     used = selection.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
-    joined = targets.select("mix_id", "source", "target_share").join(used, ["mix_id", "source"], "left").fillna(0, ["tokens", "documents", "most_repeats"])
+    joined = targets.select("mix_id", "source", "target_share", "corpus_multiple").join(used, ["mix_id", "source"], "left").fillna(0, ["tokens", "documents", "most_repeats"])
     every = F.sum("tokens").over(Window.partitionBy("mix_id"))
-    return joined.withColumn("actual_share", F.round(F.col("tokens") / F.nullif(every, F.lit(0)), 6))
+    out = joined.withColumn("actual_share", F.round(F.col("tokens") / F.nullif(every, F.lit(0)), 6))
+    if total is not None:
+        out = out.withColumn("asked_tokens", (F.col("target_share") * F.col("corpus_multiple") * total).cast("long")).withColumn("filled", F.round(F.col("tokens") / F.nullif("asked_tokens", F.lit(0)), 6))
+    return out.drop("corpus_multiple")
 
 
 def p7_mix(spark, sf_dir: str) -> DataFrame:
@@ -173,8 +190,10 @@ def p7_mix(spark, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark, sf_dir: str) -> DataFrame:
-    """The shares that every mix actually reaches."""
-    return shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    """The shares that every mix actually reaches, and how much of what was asked."""
+    targets = table(spark, sf_dir, "mix_targets")
+    selection, total = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), targets)
+    return shares(selection, targets, total)
 
 
 QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}
