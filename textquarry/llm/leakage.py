@@ -41,11 +41,13 @@ def _tokens(word: Column) -> Column:
     return F.filter(F.split(word, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _terms(tokens: Column) -> Column:
-    return F.when(
-        F.size(tokens) >= TERM,
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - (TERM - 1)), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, TERM), " "))),
-    )
+def _terms(hashes: Column, n: int = TERM) -> Column:
+    """Hashes of the runs of n tokens, from the hashes of the tokens: no string is built for a run."""
+    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(n)))))
+
+
+def _hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
 def test_terms(items: DataFrame) -> DataFrame:
@@ -65,16 +67,16 @@ def test_terms(items: DataFrame) -> DataFrame:
             ),
         )
     )
-    rows = pinned(pinned(words, "m", marked), "terms", _terms(F.col("m.t"))).where("terms is not null")
+    rows = pinned(pinned(pinned(words, "m", marked), "th", _hashes(F.col("m.t"))), "terms", _terms(F.col("th"))).where("terms is not null")
     return rows.select("item_id", "kind", F.size("terms").alias("n"), "m", F.posexplode("terms").alias("off", "h")).select(
         "item_id", "kind", "n", "off", "h", F.col("m")[F.col("off")]["low"].alias("low"), F.col("m")[F.col("off") + TERM - 1]["high"].alias("high")
     )
 
 
 def document_tokens(documents: DataFrame) -> DataFrame:
-    """``doc_id, t``: the tokens of each text in comparison form."""
+    """``doc_id, t``: hashes of the tokens of each text in comparison form."""
     text = F.concat_ws(" ", normal_words(F.col("text")))
-    return pinned(documents.where("text is not null"), "t", _tokens(text)).select("doc_id", "t")
+    return pinned(documents.where("text is not null"), "t", _hashes(_tokens(text))).select("doc_id", "t")
 
 
 def postings(documents: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -83,15 +85,22 @@ def postings(documents: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     return every.join(broadcast_if_small(terms.select("h").distinct(), n_terms), "h", "left_semi")
 
 
+def _hashes_of_all(tokens: Column) -> Column:
+    """The one term of a text of up to four tokens, as an array."""
+    out = F.array().cast("array<bigint>")
+    for n in range(1, TERM):
+        out = F.when(F.size(tokens) == n, _terms(_hashes(tokens), n)).otherwise(out)
+    return out
+
+
 def short_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, kind, words, whole``: documents that hold a whole question of one to four words."""
     tokens = _tokens(F.concat_ws(" ", normal_words(F.col("question"))))
-    short = checkpointed(pinned(items.where("question is not null"), "t", tokens).where(F.size("t").between(1, TERM - 1)).select("item_id", F.size("t").alias("n"), F.xxhash64(F.array_join("t", " ")).alias("h")))
+    short = checkpointed(pinned(items.where("question is not null"), "t", tokens).where(F.size("t").between(1, TERM - 1)).select("item_id", F.size("t").alias("n"), F.explode(_hashes_of_all(F.col("t"))).alias("h")))
     parts = []
     for r in short.select("n").distinct().collect():  # at most four lengths
         n = r["n"]
-        grams = F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("t", i, n), " "))))  # noqa: B023
-        held = document_tokens(documents).select("doc_id", F.explode(F.array_distinct(grams)).alias("h"))
+        held = document_tokens(documents).select("doc_id", F.explode(F.array_distinct(_terms(F.col("t"), n))).alias("h"))
         parts.append(held.join(F.broadcast(short.where(F.col("n") == n)), "h").select("doc_id", "item_id", F.lit("question").alias("kind"), F.col("n").alias("words"), F.lit(True).alias("whole")))  # questions under five words
     if not parts:
         return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, kind string, words int, whole boolean")
