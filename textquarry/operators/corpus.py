@@ -100,29 +100,11 @@ def q_rollup(spark, sf):
     return rows.select("doc_id", "page_no", "first_seq", "last_seq", "tokens", "has_table", F.sha2(F.array_join("all.text", "\n\n"), 256).alias("text_hash"), F.array_join(F.array_distinct(F.array_compact("all.section")), ",").alias("sections"))
 
 
-def q_pack(spark, sf, budget: int = 800):
-    """Greedy packing of the blocks of each page in order, as a fold: a new pack where the budget is passed.
-
-    The fold runs over the sizes of one page, never over a whole document.
-    """
-    b = table(spark, sf, "blocks").where("text is not null").select("doc_id", "page_no", "block_seq", approx_tokens(F.col("text")).cast("long").alias("cost"))
-    pages = b.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("block_seq", "cost"))).alias("b"))
-    zero = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).cast("long").alias("pack"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc, x):
-        full = (acc["filled"] > 0) & (acc["filled"] + x["cost"] > budget)
-        pack = acc["pack"] + F.when(full, 1).otherwise(0).cast("long")
-        return F.struct(F.when(full, x["cost"]).otherwise(acc["filled"] + x["cost"]).alias("filled"), pack.alias("pack"), F.concat(acc["out"], F.array(pack)).alias("out"))
-
-    packed = pages.select("doc_id", "page_no", "b", F.aggregate("b", zero, step)["out"].alias("packs"))
-    return packed.select("doc_id", "page_no", F.explode(F.arrays_zip("b", "packs")).alias("z")).select("doc_id", "page_no", F.col("z.b.block_seq").alias("block_seq"), F.col("z.packs").alias("pack"))
-
-
 _UUID = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
 _LAST = "SELECT * FROM ledger WHERE sha256 IS NOT NULL AND error IS NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1"
 QUERIES = {
     "chunk_ids": q_ids, "upsert_latest": q_upsert, "list_documents": q_list, "count_points": q_count, "known_designations": q_known, "document_sources": q_sources, "chunk_payload": q_payload,
-    "ledger_last_success": q_last, "changed_files": q_changed, "prune_missing": q_prune, "source_conflicts": q_conflicts, "run_summary": q_runs, "page_rollup": q_rollup, "chunk_pack": q_pack,
+    "ledger_last_success": q_last, "changed_files": q_changed, "prune_missing": q_prune, "source_conflicts": q_conflicts, "run_summary": q_runs, "page_rollup": q_rollup,
 }
 ORACLES = {
     "chunk_ids": f"WITH t AS (SELECT chunk_id, sha256(text) AS s, sha1(from_hex('6f0b9d1e3a4c4f8b9c2a1d5e7f0a2b31') || encode(doc_id || ':' || chunk_index || ':' || sha256(text))) AS h FROM chunks) SELECT chunk_id, s AS content_hash, {_UUID} AS point_id FROM t",
@@ -140,7 +122,4 @@ ORACLES = {
     "page_rollup": """WITH b AS (SELECT * FROM blocks WHERE text IS NOT NULL), s AS (SELECT doc_id, page_no, section, min(block_seq) AS q FROM b WHERE section IS NOT NULL GROUP BY 1, 2, 3), t AS (SELECT doc_id, page_no, string_agg(section, ',' ORDER BY q) AS sections FROM s GROUP BY 1, 2)
       SELECT b.doc_id, b.page_no, min(block_seq) AS first_seq, max(block_seq) AS last_seq, sum(greatest(1, length(text) // 3))::BIGINT AS tokens, coalesce(max(kind = 'table'), false) AS has_table, sha256(string_agg(text, E'\\n\\n' ORDER BY block_seq)) AS text_hash, coalesce(any_value(t.sections), '') AS sections
       FROM b LEFT JOIN t ON t.doc_id = b.doc_id AND t.page_no IS NOT DISTINCT FROM b.page_no GROUP BY 1, 2""",
-    "chunk_pack": """WITH p AS (SELECT doc_id, page_no, list(block_seq ORDER BY block_seq) AS seqs, list(greatest(1, length(text) // 3) ORDER BY block_seq) AS costs FROM blocks WHERE text IS NOT NULL GROUP BY 1, 2),
-      f AS (SELECT doc_id, page_no, seqs, list_reduce(costs, lambda a, c: {'filled': CASE WHEN a.filled > 0 AND a.filled + c > 800 THEN c ELSE a.filled + c END, 'pack': a.pack + CASE WHEN a.filled > 0 AND a.filled + c > 800 THEN 1 ELSE 0 END, 'out': list_append(a.out, a.pack + CASE WHEN a.filled > 0 AND a.filled + c > 800 THEN 1 ELSE 0 END)}, {'filled': 0::BIGINT, 'pack': 0::BIGINT, 'out': []::BIGINT[]}) AS r FROM p)
-      SELECT doc_id, page_no, unnest(seqs) AS block_seq, unnest(r.out) AS pack FROM f""",
 }

@@ -153,8 +153,9 @@ _PACK = r"""b AS (SELECT doc_id, block_seq, page_no, section, coalesce(lower(tri
    FROM (SELECT k.doc_id, ch, z, n, cs, es, coalesce(list_filter(range(s + 1, z + 1), lambda j: es[z] - (es[j] - cs[j]) <= least(80, 800 - cs[z + 1]))[1], z + 1) AS s2 FROM k JOIN l ON k.doc_id = l.doc_id WHERE z < n)),
  w AS (SELECT k.*, z = n AND ch > 0 AND es[z] - (es[s] - cs[s]) < 50 AS tail FROM k JOIN l ON k.doc_id = l.doc_id),
  a AS (SELECT i.*, (CASE WHEN tail THEN ch - 1 ELSE ch END)::INT AS chunk_index, CASE WHEN tail THEN 'tail' WHEN i < f THEN 'carried' ELSE 'own' END AS role FROM w JOIN i ON w.doc_id = i.doc_id AND i BETWEEN s AND z AND (NOT tail OR i >= f))"""
-QUERIES = {"document_pack": q_document_pack, "chunk_rollup": q_rollup}
+QUERIES = {"chunk_pack": q_document_pack, "document_pack": q_document_pack, "chunk_rollup": q_rollup}
 ORACLES = {
+    "chunk_pack": f"WITH RECURSIVE {_PACK} SELECT doc_id, chunk_index, block_seq, piece, role FROM a",
     "document_pack": f"WITH RECURSIVE {_PACK} SELECT doc_id, chunk_index, block_seq, piece, role FROM a",
     "chunk_rollup": rf"""WITH RECURSIVE {_PACK},
  o AS (SELECT doc_id, page_no, arg_min_null(ocr_confidence, page_id) AS conf FROM page_docs WHERE from_ocr GROUP BY 1, 2),

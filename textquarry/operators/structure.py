@@ -199,13 +199,6 @@ def q_clauses(spark, sf):
     return lines_of(table(spark, sf, "page_docs"), ["page_id"]).select("page_id", "line_no", clause_number(F.col("line")).alias("clause")).where("clause is not null")
 
 
-def q_inherit(spark, sf):
-    """Section of each page's blocks, inherited from the last clause opened on the page."""
-    b = table(spark, sf, "blocks").select("block_id", "doc_id", "page_no", "block_seq", clause_number(F.split("text", "\n")[0]).alias("c"))
-    w = Window.partitionBy("doc_id", "page_no").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return b.select("block_id", F.last("c", ignorenulls=True).over(w).alias("section"))
-
-
 def q_document_sections(spark, sf):
     """Section of each block by the chain of clauses of its document."""
     b = table(spark, sf, "blocks")
@@ -248,10 +241,6 @@ def q_strip(spark, sf):
     return strip_repeated(pages, repeated_lines(pages))
 
 
-def q_blocks(spark, sf):
-    return blocks_from_text(table(spark, sf, "page_docs"))
-
-
 def q_tokens(spark, sf):
     return table(spark, sf, "chunks").where("text is not null").select("chunk_id", approx_tokens(F.col("text")).alias("tokens"), F.coalesce(F.col("token_count") != approx_tokens(F.col("text")), F.lit(True)).alias("stale"))
 
@@ -319,7 +308,7 @@ _CHAIN = rf"""WITH RECURSIVE o AS (SELECT *, list_transform(string_split(clause,
 _INHERIT = """
       SELECT block_id, last_value(clause IGNORE NULLS) OVER (PARTITION BY b.doc_id ORDER BY b.block_seq ROWS UNBOUNDED PRECEDING) AS section FROM blocks b LEFT JOIN k ON k.doc_id = b.doc_id AND k.block_seq = b.block_seq"""
 QUERIES = {
-    "clean_text": q_clean, "clause_extract": q_clauses, "clause_inherit": q_inherit, "repeated_lines": q_repeated, "strip_repeated": q_strip, "blocks_from_text": q_blocks, "approx_tokens": q_tokens,
+    "clean_text": q_clean, "clause_extract": q_clauses, "clause_inherit": q_assigned, "repeated_lines": q_repeated, "strip_repeated": q_strip, "blocks_from_text": q_document_blocks, "approx_tokens": q_tokens,
     "split_text": q_split, "table_cells": q_cells, "data_row_flags": q_data_rows, "clause_chain": q_chain,
     "document_sections": q_document_sections, "assign_sections": q_assigned, "document_blocks": q_document_blocks,
 }
@@ -328,15 +317,11 @@ ORACLES = {
       b AS (SELECT page_id, list_reduce(regexp_extract_all(t, '(?:^|[^\pL\pN_])((?:[А-ЯЁ]\s){2,}[А-ЯЁ])(?:$|[^\pL\pN_])', 1), lambda a, m: replace(a, m, replace(m, ' ', '')), t) AS t FROM a)
       SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), '(?m)^[ \t]+|[ \t]+$', '', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g') AS text FROM b""",
     "clause_extract": f"WITH {_L} SELECT page_id, line_no, {_clause('line')} AS clause FROM l WHERE ({_clause('line')}) IS NOT NULL",
-    "clause_inherit": f"WITH b AS (SELECT block_id, doc_id, page_no, block_seq, string_split(text, E'\\n')[1] AS f FROM blocks), c AS (SELECT *, {_clause('f')} AS c FROM b) SELECT block_id, last_value(c IGNORE NULLS) OVER (PARTITION BY doc_id, page_no ORDER BY block_seq ROWS UNBOUNDED PRECEDING) AS section FROM c",
+    "clause_inherit": _CHAIN.replace("@", _CANDIDATES) + _INHERIT,
     "repeated_lines": f"WITH {_REP} SELECT * FROM r",
     "strip_repeated": f"""WITH {_REP}, fs AS (SELECT doc_id, list(form) AS forms FROM r GROUP BY 1), pl AS (SELECT page_id, text, forms, string_split(text, E'\\n') AS ls FROM page_docs p LEFT JOIN fs ON fs.doc_id = p.doc_id WHERE text IS NOT NULL),
       ed AS (SELECT *, greatest(1, least(3, len(ls) // 3)) AS edge FROM pl)
       SELECT page_id, CASE WHEN forms IS NULL THEN text ELSE {_trimmed("regexp_replace(array_to_string(list_filter(ls, lambda x, i: NOT ((i <= edge OR i > len(ls) - edge) AND " + _trimmed('x') + " <> '' AND list_contains(forms, " + _form('x') + "))), E'" + chr(92) + "n'), '" + chr(92) + "n{3,}', E'" + chr(92) + "n" + chr(92) + "n', 'g')")} END AS text FROM ed""",
-    "blocks_from_text": f"""WITH {_L}, m AS (SELECT page_id, line_no, line, trim(line) = '' AS blank, {_clause('line')} AS clause FROM l),
-      g AS (SELECT *, CASE WHEN clause IS NOT NULL OR coalesce(lag(blank) OVER (PARTITION BY page_id ORDER BY line_no), true) THEN 1 ELSE 0 END AS s FROM m),
-      b AS (SELECT *, sum(s) OVER (PARTITION BY page_id ORDER BY line_no) AS b, last_value(clause IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM g)
-      SELECT page_id, min(line_no) AS first_line, max(section) AS section, count(*) AS lines, {_trimmed("string_agg(line, E'" + chr(92) + "n' ORDER BY line_no)")} AS text FROM b WHERE NOT blank GROUP BY page_id, b.b""",
     "approx_tokens": "SELECT chunk_id, greatest(1, length(text) // 3)::INT AS tokens, coalesce(token_count <> greatest(1, length(text) // 3), true) AS stale FROM chunks WHERE text IS NOT NULL",
     "split_text": "SELECT block_id, piece::INT AS piece, substr(text, (piece * 1200 + 1)::BIGINT, 1200) AS text FROM (SELECT block_id, text, unnest(range((length(text) - 1) // 1200 + 1)) AS piece FROM blocks WHERE text <> '')",
     "table_cells": f"WITH {_C} SELECT * FROM cells",
@@ -371,3 +356,4 @@ ORACLES = {
       x AS (SELECT page_id, min(line_no) AS first_line, max(section) AS section, count(*) AS lines, {_trimmed("string_agg(line, E'" + chr(92) + "n' ORDER BY line_no)")} AS text FROM b WHERE NOT blank GROUP BY page_id, b.b)
       SELECT x.page_id, first_line, coalesce(section, carried) AS section, lines, x.text FROM x JOIN page_docs p ON p.page_id = x.page_id JOIN c ON c.doc_id = p.doc_id AND c.page_no = p.page_no""",
 }
+ORACLES["blocks_from_text"] = ORACLES["document_blocks"]
