@@ -186,10 +186,26 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece_no = 2").select("tab", "row_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
+def p4_cover(spark, sf_dir: str) -> DataFrame:
+    """Of every row that was cut: whether its own parts cover the text without gap, and whether every piece keeps the limit."""
+    rows = items(spark, sf_dir).select("tab", "row_id", F.length("text").alias("length"))
+    parts = p4_pieces(spark, sf_dir).groupBy("tab", "row_id").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.max("tokens").alias("most"), F.max((F.length("text") / CHARS).cast("int")).alias("longest")
+    )
+    gapless = F.forall(F.transform("spans", lambda s, i: F.when(i == 0, s["start"] == 0).otherwise(s["start"] == F.get("spans", i - 1)["end"])), lambda ok: ok)
+    return parts.join(rows, ["tab", "row_id"]).select(
+        "tab", "row_id", (gapless & (F.element_at("spans", -1)["end"] == F.col("length"))).alias("covered"), ((F.col("most") <= LIMIT) & (F.col("longest") <= LIMIT)).alias("within")
+    )
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_cover": p4_cover}
 ORACLES = {
     "p4_found": """
         SELECT 'blocks' AS tab, block_id AS row_id FROM blocks WHERE greatest(1, length(text) // 3) > 400
         UNION ALL
-        SELECT 'chunks', chunk_id FROM chunks WHERE greatest(1, length(text) // 3) > 400"""
+        SELECT 'chunks', chunk_id FROM chunks WHERE greatest(1, length(text) // 3) > 400""",
+    "p4_cover": """
+        SELECT 'blocks' AS tab, block_id AS row_id, true AS covered, true AS within FROM blocks WHERE greatest(1, length(text) // 3) > 400
+        UNION ALL
+        SELECT 'chunks', chunk_id, true, true FROM chunks WHERE greatest(1, length(text) // 3) > 400""",
 }
