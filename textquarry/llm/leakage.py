@@ -29,12 +29,16 @@ RUN = 18
 GAP, DRIFT, KEPT = 12, 4, 0.5
 
 
-def normal_words(column: Column) -> Column:
-    """White-space words in comparison form: breaks inside words joined, compounds closed up."""
+def normal_text(column: Column) -> Column:
+    """The text in comparison form: breaks inside words joined, compounds closed up, one script, no marks."""
     letter = r"\p{L}"
-    joined = F.regexp_replace(column, rf"(?<={letter})[-‐-―¬­][ \t ]*\r?\n\s*(?={letter})", "")
-    closed = F.regexp_replace(skeleton(joined), rf"(?<={letter})[-‐‑](?={letter})", "")
-    return F.filter(F.split(closed, r"(?U)\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    joined = F.regexp_replace(column, rf"(?<={letter})[-‐-―¬­][ \t\u00a0]*\r?\n\s*(?={letter})", "")
+    return F.regexp_replace(skeleton(joined), rf"(?<={letter})[-‐‑](?={letter})", "")
+
+
+def normal_words(column: Column) -> Column:
+    """White-space words in comparison form that hold a letter or digit."""
+    return F.filter(F.split(normal_text(column), r"(?U)\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
 
 
 def _tokens(word: Column) -> Column:
@@ -75,8 +79,7 @@ def test_terms(items: DataFrame) -> DataFrame:
 
 def document_tokens(documents: DataFrame) -> DataFrame:
     """``doc_id, t``: hashes of the tokens of each text in comparison form."""
-    text = F.concat_ws(" ", normal_words(F.col("text")))
-    return pinned(documents.where("text is not null"), "t", _hashes(_tokens(text))).select("doc_id", "t")
+    return pinned(documents.where("text is not null"), "t", _hashes(_tokens(normal_text(F.col("text"))))).select("doc_id", "t")
 
 
 def postings(documents: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -95,7 +98,7 @@ def _hashes_of_all(tokens: Column) -> Column:
 
 def short_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, kind, words, whole``: documents that hold a whole question of one to four words."""
-    tokens = _tokens(F.concat_ws(" ", normal_words(F.col("question"))))
+    tokens = _tokens(normal_text(F.col("question")))
     short = checkpointed(pinned(items.where("question is not null"), "t", tokens).where(F.size("t").between(1, TERM - 1)).select("item_id", F.size("t").alias("n"), F.explode(_hashes_of_all(F.col("t"))).alias("h")))
     parts = []
     for r in short.select("n").distinct().collect():  # at most four lengths
