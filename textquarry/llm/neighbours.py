@@ -176,13 +176,16 @@ def nearest(vectors: DataFrame, k: int = K, min_cosine: float | None = None, que
         ask = batch["asks"].to_numpy()
         ids = batch["rep"].to_numpy()
         u = np.frombuffer(b"".join(batch["u"]), dtype=np.float32).reshape(len(batch), -1)
-        out = []
-        if ask.any() and not ask.all():
-            qi, di = ids[ask], ids[~ask]
-            for q, d, c in search_cell(u[ask], u[~ask], directions, k + 1, radius):
-                keep = (qi[q] != di[d]) & (c >= (-2 if min_cosine is None else min_cosine - 1e-3))
-                out.append(pd.DataFrame({"a": qi[q][keep], "b": di[d][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if not ask.any() or ask.all():
+            return none
+        qi, di = ids[ask], ids[~ask]
+        found = list(search_cell(u[ask], u[~ask], directions, k + 1, radius))
+        if not found:
+            return none
+        q, d, c = (np.concatenate(x) for x in zip(*found))
+        keep = (qi[q] != di[d]) & (c >= (-2 if min_cosine is None else min_cosine - 1e-3))
+        return pd.DataFrame({"a": qi[q][keep], "b": di[d][keep]})
 
     found = asks.unionByName(data).groupBy("cell", "block", "portion").applyInPandas(search, "a long, b long")
     # the exact cosine, in double precision
