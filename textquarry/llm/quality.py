@@ -36,12 +36,13 @@ _NUMBER_ROW = r"(?mU)^[ \t]*(\p{Lu}{0,3}\d[\d.,]*|—)([ \t]+(—|[\d.,]*\d[\d.,
 _CODE_LINE = r"(?m)^[ \t]*([A-Za-z_$][\w.$]*[ \t]*[={(\[:]|[{}\[\]<]|0x[0-9a-fA-F]+).{0,150}$"
 _SYMBOL = r"[^\p{L}\p{N}\s.,;:!?()\"'«»„“”%№°²³·/—–\-+=|•*]"
 _STUTTER = r"(?U)(?<![\w])((\p{L})\2{0,3}|[_.,-]{1,3})(?![\w.,-])"
-_SENTENCE = r"(?U)\p{L}{2,}[»\")]?[.!?…]+(\s|$)"
+_SENTENCE = r"(?U)\p{L}\p{L}[»\")]?[.!?…]+(\s|$)"
 
 
-def _share(column: str, pattern: str) -> Column:
-    """Share of the text's characters that the pattern covers."""
-    return 1 - F.length(F.regexp_replace(column, pattern, "")) / F.greatest(F.length(column), F.lit(1))
+def _share(column: str, pattern: str, needs: str | None = None) -> Column:
+    """Share of the text's characters that the pattern covers; ``needs`` is a simpler pattern that any match holds."""
+    share = 1 - F.length(F.regexp_replace(column, pattern, "")) / F.greatest(F.length(column), F.lit(1))
+    return F.when(F.col(column).rlike(needs), share).when(F.col(column).isNotNull(), 0.0) if needs else share
 
 
 def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,7 +59,7 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
     return base.select(
         key,
         F.coalesce(F.when(F.col("_w").isNotNull(), n_words), F.lit(0)).alias("word_count"),
-        (F.length(F.regexp_replace("_t", r"(?U)\s+", "")) / n_words).alias("mean_word_length"),
+        (F.length(F.array_join("_w", "")) / n_words).alias("mean_word_length"),
         (F.regexp_count("_t", F.lit(_SYMBOL)) / F.length("_t")).alias("symbol_ratio"),
         (F.regexp_count("_t", F.lit(r"(?m)[.!?…;:][»\")\]]?[ \t]*$")) / n_lines).alias("line_end_punctuation"),
         (F.size(F.filter("_w", lambda w: w.isin(COMMON.split()))) / n_words).alias("common_words"),
@@ -69,10 +70,10 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
         (F.size(F.array_distinct("_w")) / n_words).alias("distinct_words"),
         _share("_t", _BULLET).alias("bullet_share"),
         (F.regexp_count("_t", F.lit(_BULLET)) / n_lines).alias("bullet_lines"),
-        _share("_t", _LEADER).alias("leader_share"),
+        _share("_t", _LEADER, r"\.[. ]{4}").alias("leader_share"),
         _share("_t", _CODES).alias("reference_share"),
         _share("_t", _ITEM).alias("item_share"),
-        _share("_t", _CELLS).alias("cell_share"),
+        _share("_t", _CELLS, r"[|\t;]| {2}").alias("cell_share"),
         _share("_t", _NUMBER_ROW).alias("number_row_share"),
         _share("_t", _CODE_LINE).alias("code_share"),
         (F.regexp_count("_t", F.lit(_STUTTER)) / n_words).alias("stutter_share"),
