@@ -133,10 +133,12 @@ def skeleton(column: Column) -> Column:
 
     Look-alikes fold whatever their word, so the key is for comparing, not for reading.
     """
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+    looks = dict(zip("abcehkmoptxyëαβεηκμορτυχνйё", "авсенкмортхуеавенкмортухвие"))
+    # wide forms and look-alikes in one pass over the lower-cased text
+    wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    steps = {**looks, **{w: looks.get(n.lower(), n.lower()) for w, n in wide.items()}}
     plain = F.regexp_replace(column, f"[{MARKS}{IGNORABLE}]", "")
-    return F.translate(F.lower(F.translate(plain, wide, narrow)), "abcehkmoptxyëαβεηκμορτυχνйё", "авсенкмортхуеавенкмортухвие")
+    return F.translate(F.lower(plain), "".join(steps), "".join(steps.values()))
 
 
 def _look_words(text: str) -> Iterator[tuple[re.Match, str]]:

@@ -29,11 +29,15 @@ RUN = 18
 GAP, DRIFT, KEPT = 12, 4, 0.5
 
 
+#: Marks that may stand where a word is broken at the end of a line, as the inside of a character class.
+_BREAK = r"\-\u2010-\u2015\u00ac\u00ad"
+
+
 def normal_text(column: Column) -> Column:
     """The text in comparison form: breaks inside words joined, compounds closed up, one script, no marks."""
-    letter = r"\p{L}"
-    joined = F.regexp_replace(column, rf"(?<={letter})[-‐-―¬­][ \t\u00a0]*\r?\n\s*(?={letter})", "")
-    return F.regexp_replace(skeleton(joined), rf"(?<={letter})[-‐‑](?={letter})", "")
+    # the mark comes first in the patterns, so that few places are tried
+    joined = F.regexp_replace(column, rf"[{_BREAK}](?<=\p{{L}}[{_BREAK}])[ \t\u00a0]*\r?\n\s*(?=\p{{L}})", "")
+    return F.regexp_replace(skeleton(joined), r"[-‐‑](?<=\p{L}[-‐‑])(?=\p{L})", "")
 
 
 def normal_words(column: Column) -> Column:
