@@ -123,7 +123,7 @@ def nearest(vectors: DataFrame, k: int = K, min_cosine: float | None = None, que
     ``min_cosine`` only neighbours at least that similar are wanted.
     """
     spark = vectors.sparkSession
-    good = vectors.where(usable(F.col("v")))
+    good = vectors.where(usable(F.col("v"))).select("id", "v", (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).alias("asks"))
     # members of equal vectors: the k + 1 least ids stand for all in the lists of neighbours
     keyed = good.select("id", "v", F.xxhash64("v").alias("key"))
     firsts = keyed.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
@@ -140,7 +140,7 @@ def nearest(vectors: DataFrame, k: int = K, min_cosine: float | None = None, que
     model = spark.sparkContext.broadcast((centres, directions))
     probes = min(probes, len(centres))
     # queries are asked by representative: one that stands for any wanted id
-    asked = reps if queries is None else reps.join(good.where(queries).select("v").distinct(), "v", "left_semi")
+    asked = reps if queries is None else reps.join(good.where("asks").select("v").distinct(), "v", "left_semi")
 
     def assign(many: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,12 +205,12 @@ def nearest(vectors: DataFrame, k: int = K, min_cosine: float | None = None, que
         near = near.where(F.col("cosine") >= min_cosine)
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("r") <= k + 1)
     # members: every id as a query, the k + 1 least ids of a vector as neighbours
-    members = good.join(reps.select("v", "rep", "copies"), "v").select("rep", "id", "copies")
+    members = good.join(reps.select("v", "rep", "copies"), "v").select("rep", "id", "copies", "asks")
     some = members.where("copies > 1").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
     stand = some.select("rep", "id").unionByName(members.where("copies = 1").select("rep", "id"))
     wide = near.join(stand.select(F.col("rep").alias("b"), F.col("id").alias("neighbour")), "b")
     best = wide.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("r") <= k + 1)
-    wanted = members if queries is None else members.where(queries)
+    wanted = members.where("asks")
     mine = best.join(wanted.select(F.col("rep").alias("a"), F.col("id").alias("query")), "a").where("query <> neighbour")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour"))
     return mine.select("query", "neighbour", "cosine", place.cast("int").alias("rank")).where(F.col("rank") <= k)
