@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import approx_tokens, citation_ids, strip_citations, stripped
+from textquarry.functions.text import citation_ids, strip_citations, stripped
 from textquarry.operators import metadata
 from textquarry.operators.answers import says_no_answer, ungrounded
 from textquarry.operators.metadata import base_number, editions, find_designations
-from textquarry.session import table
+from textquarry.session import broadcast_if_small, table
 
 HITS, RERANKED, TOP, THRESHOLD, LISTED, TURNS = 30, 12, 6, 0.1, 20, 4
 
@@ -73,7 +73,8 @@ def lexical_hits(questions: DataFrame, chunks: DataFrame, resolved: DataFrame, k
     asked = questions.join(resolved.where("not only_missing").select("id", "matched"), "id")
     q = asked.select("id", "matched", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
     c = chunks.select("chunk_id", "designation", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    pairs = c.join(q, "term").where((F.size("matched") == 0) | F.array_contains("matched", F.col("designation")))
+    # the terms of few questions are broadcast, so that a chunk's matches meet where it lies
+    pairs = c.join(broadcast_if_small(q, q.count()), "term").where((F.size("matched") == 0) | F.array_contains("matched", F.col("designation")))
     scores = pairs.groupBy("id", "chunk_id").agg(F.count("*").alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
