@@ -55,10 +55,10 @@ def test_metadata(spark):
     rows = spark.createDataFrame([("a", "действующий", "x", "t", "u"), ("b", "действующий", None, "t", None)], "key string, status string, replaced_by string, title string, source_url string")
     live = spark.createDataFrame([("a", "заменён", "", "", "v")], "key string, status string, replaced_by string, title string, source_url string")
     assert sorted(map(tuple, overlay(rows, live).collect())) == [("a", "заменён", None, "t", "v"), ("b", "действующий", None, "t", None)]
-    m = spark.createDataFrame([("ГОСТ 5264-80",), ("ГОСТ 24705",)], "mention string")
-    a = spark.createDataFrame([("ГОСТ 5264-2019",), ("ГОСТ 24705-2004",)], "designation string")
+    m = spark.createDataFrame([("ГОСТ 6124-80",), ("ГОСТ 25816",)], "mention string")
+    a = spark.createDataFrame([("ГОСТ 6124-2019",), ("ГОСТ 25816-2004",)], "designation string")
     got = {r["mention"]: (r["matched"], r["alternatives"]) for r in resolve(m, a).collect()}
-    assert got == {"ГОСТ 5264-80": ("", "ГОСТ 5264-2019"), "ГОСТ 24705": ("ГОСТ 24705-2004", "")}
+    assert got == {"ГОСТ 6124-80": ("", "ГОСТ 6124-2019"), "ГОСТ 25816": ("ГОСТ 25816-2004", "")}
 
 
 def test_search(spark):

@@ -59,6 +59,9 @@ def test_prompts_and_choice(spark):
     df = spark.createDataFrame(rows, "thread string, nth long, role string, content string")
     assert [(r["nth"], r["content"]) for r in questions.prompts(df, 1).orderBy("nth").collect()] == [(5, "c5 [S1] ."), (6, "c6.")]
     assert questions.prompts(df, 0).count() == 0
+    asked = spark.createDataFrame([("t", "c7?", "[S1] фрагмент")], "thread string, question string, context string")
+    full = [(r["nth"], r["role"], r["content"]) for r in questions.conversations(asked, df, "правила", 1).orderBy("nth").collect()]
+    assert [(n, r) for n, r, _ in full] == [(1, "system"), (2, "user"), (3, "assistant"), (4, "user")] and full[3][2].endswith("[S1] фрагмент\n\nВОПРОС: c7?")
     hits = spark.createDataFrame([(1, 10, 2, 1), (1, 11, 5, 2), (1, 12, 1, 3)], "id long, chunk_id long, score long, rank int")
     sizes = spark.createDataFrame([(1, 10)], "id long, size int")
     assert [(r["chunk_id"], r["place"], r["best_score"]) for r in questions.selected(hits, sizes, threshold=0.2).orderBy("place").collect()] == [(11, 1, 0.5), (10, 2, 0.5)]

@@ -13,12 +13,22 @@ from textquarry.session import broadcast_if_small, table
 
 HITS, RERANKED, TOP, THRESHOLD, LISTED, TURNS = 30, 12, 6, 0.1, 20, 4
 
-# Wording of messages, separators and warnings.
+# Wording of messages, warnings, labels and prompts, and what stands between the parts.
 NOT_FOUND = "В базе не нашлось фрагментов, релевантных вопросу. Возможно, нужный стандарт ещё не загружен в корпус."
+LACKING = " нет в базе."
+LACKING_BUT = (" нет в базе (есть другая редакция: ", ").")
+LISTING = ("Сейчас в базе:\n", "— ", "\n…и ещё ")
 ONLY_KNOWN = " Ответ дан только по имеющимся документам."
 NO_CITATION = "Ответ не подкреплён ни одной ссылкой на фрагменты документов."
+WRONG_MARKERS = ("Модель сослалась на несуществующие фрагменты (", "): относящиеся к ним утверждения источником не подтверждены.")
+UNFOUNDED = ("Этих чисел нет в процитированных фрагментах: ", ". Сверьте их с документом.")
+WARNING = "⚠ "
+CLAUSE, CLAUSES, PAGES, RANGE = "п. ", "пп. ", "стр. ", "–"
 BETWEEN = "\n\n---\n\n"
 SCANNED = " [распознано OCR, возможны ошибки]"
+USER = ("ФРАГМЕНТЫ ДОКУМЕНТОВ:\n\n", "\n\nВОПРОС: ")
+#: Instructions for the model; any other may be given.
+SYSTEM = "Отвечай только по приведённым фрагментам и после каждого утверждения ставь номер источника в виде [S1]. Числа и единицы переписывай без изменений. Если ответа во фрагментах нет, так и скажи."
 
 
 def mentions(questions: DataFrame) -> DataFrame:
@@ -54,7 +64,7 @@ def missing_message(missing: Column, alternatives: Column) -> Column:
     """Which documents the corpus lacks, with the editions it has instead; empty where none."""
     one = F.zip_with(
         missing, alternatives,
-        lambda m, a: F.concat(m, F.when(F.size(a) > 0, F.concat(F.lit(" нет в базе (есть другая редакция: "), F.array_join(a, ", "), F.lit(")."))).otherwise(" нет в базе.")),
+        lambda m, a: F.concat(m, F.when(F.size(a) > 0, F.concat(F.lit(LACKING_BUT[0]), F.array_join(a, ", "), F.lit(LACKING_BUT[1]))).otherwise(LACKING)),
     )
     return F.array_join(one, " ")
 
@@ -97,15 +107,15 @@ def selected(hits: DataFrame, sizes: DataFrame, candidates: int = RERANKED, top:
 def clause_label(sections: Column, section: Column) -> Column:
     """``п. 3.2``, or ``пп. 3.3–3.7`` for a range; null where there is none."""
     one = F.when(F.size(sections) > 0, F.element_at(sections, 1)).otherwise(section)
-    many = F.concat(F.lit("пп. "), F.element_at(sections, 1), F.lit("–"), F.element_at(sections, -1))
-    return F.when(F.size(sections) > 1, many).when(one != "", F.concat(F.lit("п. "), one))
+    many = F.concat(F.lit(CLAUSES), F.element_at(sections, 1), F.lit(RANGE), F.element_at(sections, -1))
+    return F.when(F.size(sections) > 1, many).when(one != "", F.concat(F.lit(CLAUSE), one))
 
 
 def citation_label(designation: Column, doc_id: Column, status: Column, sections: Column, section: Column, first: Column, last: Column) -> Column:
     """Designation (status), clauses, pages; what is not known is left out."""
     name = F.coalesce(F.nullif(designation, F.lit("")), doc_id, F.lit("документ"))
     named = F.when((status != "") & (status != "неизвестно"), F.concat(name, F.lit(" ("), status, F.lit(")"))).otherwise(name)
-    pages = F.when(first.isNotNull(), F.concat(F.lit("стр. "), first.cast("string"), F.when(last != first, F.concat(F.lit("–"), last.cast("string"))).otherwise("")))
+    pages = F.when(first.isNotNull(), F.concat(F.lit(PAGES), first.cast("string"), F.when(last != first, F.concat(F.lit(RANGE), last.cast("string"))).otherwise("")))
     return F.concat_ws(", ", named, clause_label(sections, section), pages)
 
 
@@ -129,11 +139,11 @@ def corpus_summary(available: DataFrame, most: int = LISTED) -> DataFrame:
     """One row ``summary``: the first designations in order with their titles, and how many more there are."""
     known = available.where("designation is not null").groupBy("designation").agg(F.max("title").alias("title"))
     first = known.orderBy("designation").limit(most)
-    line = F.concat(F.lit("— "), "designation", F.when(F.col("title") != "", F.concat(F.lit(" «"), "title", F.lit("»"))).otherwise(""))
+    line = F.concat(F.lit(LISTING[1]), "designation", F.when(F.col("title") != "", F.concat(F.lit(" «"), "title", F.lit("»"))).otherwise(""))
     lines = first.agg(F.array_sort(F.collect_list(F.struct("designation", line.alias("line")))).alias("l"))
     count = known.agg(F.count("*").alias("n"))
-    rest = F.when(F.col("n") > most, F.concat(F.lit("\n…и ещё "), (F.col("n") - most).cast("string"))).otherwise("")
-    text = F.concat(F.lit("Сейчас в базе:\n"), F.array_join("l.line", "\n"), rest)
+    rest = F.when(F.col("n") > most, F.concat(F.lit(LISTING[2]), (F.col("n") - most).cast("string"))).otherwise("")
+    text = F.concat(F.lit(LISTING[0]), F.array_join("l.line", "\n"), rest)
     return lines.crossJoin(count).select(F.when(F.col("n") > 0, text).otherwise("").alias("summary"))  # one row by one row
 
 
@@ -174,17 +184,17 @@ def verified(answers: DataFrame) -> DataFrame:
             F.when(
                 F.size("invalid") > 0,
                 F.concat(
-                    F.lit("Модель сослалась на несуществующие фрагменты ("), F.array_join(F.transform("invalid", lambda i: F.concat(F.lit("S"), i.cast("string"))), ", "),
-                    F.lit("): относящиеся к ним утверждения источником не подтверждены."),
+                    F.lit(WRONG_MARKERS[0]), F.array_join(F.transform("invalid", lambda i: F.concat(F.lit("S"), i.cast("string"))), ", "),
+                    F.lit(WRONG_MARKERS[1]),
                 ),
             ),
             F.when(F.size("used") == 0, NO_CITATION).when(
-                F.size("loose") > 0, F.concat(F.lit("Этих чисел нет в процитированных фрагментах: "), F.array_join("loose", ", "), F.lit(". Сверьте их с документом."))
+                F.size("loose") > 0, F.concat(F.lit(UNFOUNDED[0]), F.array_join("loose", ", "), F.lit(UNFOUNDED[1]))
             ),
         )
     )
     a = a.withColumn("warnings", warnings)
-    marks = F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("⚠ "), w)), "\n")
+    marks = F.array_join(F.transform("warnings", lambda w: F.concat(F.lit(WARNING), w)), "\n")
     return a.select(
         "id", F.when(F.size("warnings") == 0, F.col("kept")).otherwise(F.concat("kept", F.lit("\n\n"), marks)).alias("shown"), "kept", "used", "invalid", "loose", "warnings",
         ((F.size("used") == 0) | says_no_answer(F.col("kept"))).alias("insufficient"),
@@ -202,6 +212,17 @@ def prompts(messages: DataFrame, turns: int = TURNS) -> DataFrame:
     return past.select("thread", "nth", "role", F.when(F.col("role") == "assistant", strip_citations(F.col("content"))).otherwise(F.col("content")).alias("content"))
 
 
+def conversations(asked: DataFrame, messages: DataFrame, system: str = SYSTEM, turns: int = TURNS) -> DataFrame:
+    """``thread, nth, role, content``: what the model gets: instructions, the trimmed history, the context with the question.
+
+    ``asked`` has ``thread, question, context``; ``messages`` as in ``prompts``, the question last.
+    """
+    history = prompts(messages, turns).select("thread", F.struct(F.lit(1).alias("part"), F.col("nth").cast("long").alias("at")).alias("o"), "role", "content")
+    row = lambda part, role, content: asked.select("thread", F.struct(F.lit(part).alias("part"), F.lit(0).cast("long").alias("at")).alias("o"), F.lit(role).alias("role"), content.alias("content"))
+    every = row(0, "system", F.lit(system)).unionByName(history).unionByName(row(2, "user", F.concat(F.lit(USER[0]), "context", F.lit(USER[1]), "question")))
+    return every.withColumn("nth", F.row_number().over(Window.partitionBy("thread").orderBy("o"))).select("thread", "nth", "role", "content")
+
+
 def questions_of(spark, sf) -> DataFrame:
     """The held-out questions; two thirds name a document, as people write it."""
     i = table(spark, sf, "eval_items")
