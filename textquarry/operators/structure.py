@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,36 +68,51 @@ def clause_follows(p: list[int], q: list[int]) -> bool:
     return False
 
 
-def longest_chain(clauses: list[str]) -> list[int]:
-    """Indexes of the longest subsequence in clause order; the earliest end on ties.
+class Chain:
+    """Longest subsequence of clauses in clause order, found as they come; the earliest end on ties.
 
     What ``clause_follows`` asks of the clause before is that clause itself or a prefix of it,
-    so the best chain by prefix stands for all earlier clauses.
+    so the best chain by prefix stands for all earlier clauses.  Of a clause that came only two numbers are kept.
     """
-    parent: list[int] = []
-    exact: dict[tuple, tuple[int, int]] = {}  # clause or prefix -> (length of its best chain, -index)
-    prefix: dict[tuple, tuple[int, int]] = {}
-    most, at = 0, -1
-    for i, c in enumerate(clauses):
-        q = tuple(int(x) for x in c.split("."))
-        ways = [exact[q[:-1]]] if q[-1] == 1 and q[:-1] in exact else []
+
+    def __init__(self) -> None:
+        self.parent, self.place = array("q"), array("q")
+        self.exact: dict[tuple, tuple[int, int]] = {}  # clause or prefix -> (length of its best chain, -index)
+        self.prefix: dict[tuple, tuple[int, int]] = {}
+        self.last, self.most = -1, 0
+
+    def add(self, clause: str, place: int = 0) -> None:
+        i = len(self.parent)
+        q = tuple(int(x) for x in clause.split("."))
+        ways = [self.exact[q[:-1]]] if q[-1] == 1 and q[:-1] in self.exact else []
         for k in range(len(q) - 1, -1, -1):
-            ways += [prefix[p] for p in ((*q[:k], q[k] - 1), (*q[:k], q[k] - 2)) if p in prefix]
+            ways += [self.prefix[p] for p in ((*q[:k], q[k] - 1), (*q[:k], q[k] - 2)) if p in self.prefix]
             if q[k] != 1:
                 break
         length, last = max(ways, default=(0, 1))
-        parent.append(-last)
+        self.parent.append(-last)
+        self.place.append(place)
         mine = (length + 1, -i)
-        exact[q] = max(exact.get(q, mine), mine)
+        self.exact[q] = max(self.exact.get(q, mine), mine)
         for k in range(1, len(q) + 1):
-            prefix[q[:k]] = max(prefix.get(q[:k], mine), mine)
-        if length + 1 > most:
-            most, at = length + 1, i
-    out = []
-    while at >= 0:
-        out.append(at)
-        at = parent[at]
-    return out[::-1]
+            self.prefix[q[:k]] = max(self.prefix.get(q[:k], mine), mine)
+        if length + 1 > self.most:
+            self.most, self.last = length + 1, i
+
+    def path(self) -> list[int]:
+        """Indexes of the chain."""
+        out, at = [], self.last
+        while at >= 0:
+            out.append(at)
+            at = self.parent[at]
+        return out[::-1]
+
+
+def longest_chain(clauses: list[str]) -> list[int]:
+    chain = Chain()
+    for clause in clauses:
+        chain.add(clause)
+    return chain.path()
 
 
 def openings(blocks: DataFrame) -> DataFrame:
@@ -107,11 +123,23 @@ def openings(blocks: DataFrame) -> DataFrame:
 def clause_chain(opening: DataFrame) -> DataFrame:
     """The openings that form the document's chain of clauses."""
 
-    def chain(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("block_seq")
-        return batch.iloc[longest_chain(batch["clause"].tolist())]
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, chain = None, Chain()
+
+        def members() -> pd.DataFrame:
+            return pd.DataFrame([(doc, chain.place[i]) for i in chain.path()], columns=["doc_id", "block_seq"])
+
+        for batch in batches:
+            for doc_id, seq, clause in batch.itertuples(index=False):
+                if doc_id != doc:
+                    yield members()
+                    doc, chain = doc_id, Chain()
+                chain.add(clause, seq)
+        yield members()
 
-    return opening.groupBy("doc_id").applyInPandas(chain, "doc_id string, block_seq int, clause string")
+    # a document is read in order, batch by batch, and never held as rows
+    ordered = opening.select("doc_id", "block_seq", "clause").repartition("doc_id").sortWithinPartitions("doc_id", "block_seq")
+    return ordered.mapInPandas(fold, "doc_id string, block_seq int").join(opening, ["doc_id", "block_seq"]).select("doc_id", "block_seq", "clause")
 
 
 def numbered(rows: DataFrame, segment: int = 256) -> DataFrame:
