@@ -128,11 +128,10 @@ def near_leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFr
     index = postings(documents, terms, n_terms)
     hits = index.join(broadcast_if_small(terms.select("h", "item_id", "kind", "off"), n_terms), "h").select("doc_id", "item_id", "kind", "pos", (F.col("pos") - F.col("off")).alias("diag"))
     order = Window.partitionBy("doc_id", "item_id", "kind").orderBy("pos", "diag")
-    apart = (F.col("pos") - F.lag("pos").over(order) > GAP + TERM) | (F.abs(F.col("diag") - F.lag("diag").over(order)) > DRIFT)
-    marked = hits.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("cluster", F.sum("new").over(order))
-    inside = Window.partitionBy("doc_id", "item_id", "kind", "cluster").orderBy("pos", "diag")
-    kept = F.coalesce(F.least(F.lit(TERM), F.col("pos") - F.lag("pos").over(inside)), F.lit(TERM))
-    found = marked.withColumn("kept", kept).groupBy("doc_id", "item_id", "kind", "cluster").agg(F.sum("kept").cast("int").alias("words"), (F.max("pos") - F.min("pos") + TERM).cast("int").alias("span"))
+    step = F.col("pos") - F.lag("pos").over(order)
+    apart = F.coalesce((step > GAP + TERM) | (F.abs(F.col("diag") - F.lag("diag").over(order)) > DRIFT), F.lit(True))
+    marked = hits.select("*", apart.cast("int").alias("new"), F.when(apart, TERM).otherwise(F.least(F.lit(TERM), step)).alias("kept"))
+    found = marked.withColumn("cluster", F.sum("new").over(order)).groupBy("doc_id", "item_id", "kind", "cluster").agg(F.sum("kept").cast("int").alias("words"), (F.max("pos") - F.min("pos") + TERM).cast("int").alias("span"))
     good = found.where((F.col("words") >= run) & (F.col("words") >= KEPT * F.col("span")))
     best = good.groupBy("doc_id", "item_id", "kind").agg(F.max(F.struct("words", (-F.col("span")).alias("least"))).alias("b"))
     return best.select("doc_id", "item_id", "kind", F.col("b.words").alias("words"), (-F.col("b.least")).alias("span"))
