@@ -1,10 +1,11 @@
 import os
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from textquarry.llm import quality, scans
+from textquarry.llm import neardup, quality, scans
 
 DATA = "/root/testdata/sf0.1"
 
@@ -46,3 +47,32 @@ def test_training_learns_a_layout():
     foot = [line(text, "top"), *[line(text, "inside")] * 2, line(short, "bottom")]
     assert scans.LineModel().best(page)[0] == "header" and scans.LineModel().best(foot)[-1] == "body"
     assert scans.LineModel().train([page] * 300).best(foot)[-1] == "header"
+
+
+def test_inner_nodes_prune_and_lose_nothing():
+    """Trees of several groups find the pairs that a test of all pairs leaves, and inner nodes are left by bitmap."""
+    rng = np.random.default_rng(4)
+    sets, edges = [], [0]
+    for size in (1, 2, 40, 7, 120):
+        base = [rng.choice(1 << 40, 90, replace=False) for _ in range(max(1, size // 4))]
+        for i in range(size):
+            one = base[i % len(base)].copy()
+            one[: rng.integers(0, 40)] = rng.choice(1 << 40, 1)
+            sets.append(np.unique(one))
+        sets[edges[-1] :] = sorted(sets[edges[-1] :], key=lambda s: s[0])
+        edges.append(len(sets))
+    bits = np.zeros((len(sets), neardup.WORDS), dtype=np.uint64)
+    for i, s in enumerate(sets):
+        slot = s % (64 * neardup.WORDS)
+        np.bitwise_or.at(bits[i], slot // 64, np.uint64(1) << (slot % 64).astype(np.uint64))
+    size = np.array([len(s) for s in sets])
+    forest, tested = neardup.Forest(bits, size, np.array(edges)), Counter()
+    i, j = forest.meet(np.arange(5), np.arange(5), 0.6, tested)
+    got = set(zip(i.tolist(), j.tolist()))
+    group = np.repeat(np.arange(5), np.diff(edges))
+    similar = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if group[a] == group[b] and len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))}
+    assert similar and similar <= got and len(got) < 3 * len(similar)
+    assert all(tested[level, "bitmap"] > 0.2 * tested[level, "pairs"] for level in (0, 1)) and tested[2, "bitmap"] > 0
+    # a tree against another finds each pair across once
+    x, y = forest.meet(np.array([2]), np.array([4]), 0.1)
+    assert len(set(zip(x.tolist(), y.tolist()))) == len(x) and set(group[x]) <= {2} and set(group[y]) <= {4}

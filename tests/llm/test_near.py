@@ -13,3 +13,15 @@ def test_proximity_and_short_questions(spark):
     exact = {(r["doc_id"], r["item_id"], r["kind"]) for r in leakage.leaks(df, items).collect()}
     assert exact == {(4, 1, "question"), (4, 3, "question"), (7, 1, "passage")}
     assert leakage.near_leaks(df.limit(0), items).count() == leakage.leaks(df, items.limit(0)).count() == 0
+
+
+def test_stored_index_serves_other_items(spark, tmp_path):
+    words = [f"слово{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words[5:40])), (2, "прочее " + " ".join(words[30:60])), (3, None)], "doc_id long, text string")
+    leakage.full_index(docs).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for lo, hi in ((0, 30), (20, 60)):
+        items = spark.createDataFrame([(1, None, " ".join(words[lo:hi]))], "item_id long, question string, passage string")
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        assert rows(leakage.leaks(docs, items, index=index)) == rows(leakage.leaks(docs, items)) != []
+        assert rows(leakage.near_leaks(docs, items, index=index)) == rows(leakage.near_leaks(docs, items)) != []

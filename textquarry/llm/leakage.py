@@ -86,9 +86,14 @@ def document_tokens(documents: DataFrame) -> DataFrame:
     return pinned(documents.where("text is not null"), "t", _hashes(_tokens(normal_text(F.col("text"))))).select("doc_id", "t")
 
 
-def postings(documents: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """``h, doc_id, pos`` of every occurrence in the corpus of a term of the test texts."""
-    every = document_tokens(documents).select("doc_id", F.posexplode(_terms(F.col("t"))).alias("pos", "h"))
+def full_index(documents: DataFrame) -> DataFrame:
+    """``h, doc_id, pos`` of every term of every document: stored once, it serves any later test texts (``index`` below)."""
+    return document_tokens(documents).select(F.posexplode(_terms(F.col("t"))).alias("pos", "h"), "doc_id").select("h", "doc_id", "pos")
+
+
+def postings(documents: DataFrame, terms: DataFrame, n_terms: int, index: DataFrame | None = None) -> DataFrame:
+    """``h, doc_id, pos`` of every occurrence in the corpus, or in its stored index, of a term of the test texts."""
+    every = full_index(documents) if index is None else index.select("h", "doc_id", "pos")
     return every.join(broadcast_if_small(terms.select("h").distinct(), n_terms), "h", "left_semi")
 
 
@@ -117,7 +122,7 @@ def short_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
-def near_leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
+def near_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, index: DataFrame | None = None) -> DataFrame:
     """``doc_id, item_id, kind, words, span``: proximity matches that keep at least ``run`` words, half of those that they span.
 
     ``words`` are the words of the document within matched terms.  Exact runs are proximity matches too.
@@ -125,7 +130,7 @@ def near_leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFr
     """
     terms = checkpointed(test_terms(items))
     n_terms = terms.count()
-    index = postings(documents, terms, n_terms)
+    index = postings(documents, terms, n_terms, index)
     hits = index.join(broadcast_if_small(terms.select("h", "item_id", "kind", "off"), n_terms), "h").select("doc_id", "item_id", "kind", "pos", (F.col("pos") - F.col("off")).alias("diag"))
     order = Window.partitionBy("doc_id", "item_id", "kind").orderBy("pos", "diag")
     step = F.col("pos") - F.lag("pos").over(order)
@@ -137,15 +142,16 @@ def near_leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFr
     return best.select("doc_id", "item_id", "kind", F.col("b.words").alias("words"), (-F.col("b.least")).alias("span"))
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, index: DataFrame | None = None) -> DataFrame:
     """``doc_id, item_id, kind, words, whole``: the longest common run of each document and test text.
 
     Reported are runs of at least ``run`` words of a passage, and whole questions.
-    Null and blank texts take no part; repeated documents are each reported.
+    Null and blank texts take no part; repeated documents are each reported.  With a
+    stored ``index`` the documents are read for questions under five words alone.
     """
     terms = checkpointed(test_terms(items))
     n_terms = terms.count()
-    index = checkpointed(postings(documents, terms, n_terms))
+    index = checkpointed(postings(documents, terms, n_terms, index))
     df = index.groupBy("h").agg(F.count("*").alias("df"))
     # the rarest term of every window that a match covers whole: run - 4 terms of a passage, all terms of a question
     span = Window.partitionBy("item_id", "kind").orderBy("off").rowsBetween(0, run - TERM)
