@@ -128,8 +128,10 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str = T
     spark = documents.sparkSession
     counted = checkpointed(token_counts(documents, path))
     total = counted.agg(F.sum("tokens")).first()[0] or 0
+    asked = targets.where("source is not null").collect()  # a handful of rows, given by the user
+    # only sources that are asked for make patterns, so the user's list bounds their number
     texts = (
-        counted.where("source is not null and tokens > 0")
+        counted.where(F.col("source").isin(sorted({r["source"] for r in asked})) & (F.col("tokens") > 0))
         .groupBy("key", "source")
         .agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
         .groupBy("key")
@@ -140,7 +142,7 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str = T
     # one row for each set of sources that occurs together
     sizes = {tuple(r["pattern"].split("\n")): (r["t"], r["n"]) for r in placed.groupBy("pattern").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
     mixes: dict[int, dict] = {}
-    for r in targets.where("source is not null").collect():  # a handful of rows, given by the user
+    for r in asked:
         m = mixes.setdefault(r["mix_id"], {"quota": {}, "cap": {}})
         m["quota"][r["source"]] = int(r["target_share"] * r["corpus_multiple"] * total)
         m["cap"][r["source"]] = r["max_repeats"]
