@@ -25,7 +25,7 @@ DIM, K = 64, 10
 #: Vectors of the sample that fits cells and directions: a bound on what the driver sees.
 SAMPLE = 20_000
 #: Vectors a cell should hold, and the most of a block.
-CELL, BLOCK = 256, 4096
+CELL, BLOCK = 512, 4096
 #: Single projections, and the share of them that must collide.
 PROJECTIONS, COLLIDE = 16, 0.8
 #: Radii of the rounds, as distances of unit vectors: cosine 0.98, 0.92, 0.78, 0.5, 0.2.
@@ -114,7 +114,7 @@ def search_cell(queries: np.ndarray, data: np.ndarray, directions: np.ndarray, k
             yield np.full(len(js), at + q), js, cs
 
 
-def nearest(vectors: DataFrame, k: int = K, min_cosine: float | None = None, queries: Column | None = None, cell: int = CELL, probes: int = 4) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, min_cosine: float | None = None, queries: Column | None = None, cell: int = CELL, probes: int = 8) -> DataFrame:
     """``query, neighbour, cosine, rank``: the k most similar other vectors of each query.
 
     ``vectors`` has ``id, v``.  Vectors that are null, zero, of another length or hold
@@ -228,7 +228,7 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
 
 def p3_nearest(spark, sf_dir: str) -> DataFrame:
     """The ten most similar vectors of every vector whose id is divisible by 20, among all vectors."""
-    return nearest(_vectors(spark, sf_dir), queries=F.expr("id % 20 = 0"), probes=12).withColumn("cosine", F.round("cosine", 6))
+    return nearest(_vectors(spark, sf_dir), queries=F.expr("id % 20 = 0"), probes=24).withColumn("cosine", F.round("cosine", 6))
 
 
 QUERIES = {"p3_found": p3_found, "p3_nearest": p3_nearest}
