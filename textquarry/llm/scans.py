@@ -6,8 +6,9 @@ line is observed by its layout: its place on the page, its length against the pa
 median with its share of digits and whether its number agrees with the page, how it
 ends, how the next line begins, and how often the corpus shows its form at page edges.  Each of these
 has a distribution of its own in each state; these and the transitions start from
-rough weights and are re-estimated by Viterbi training on a bounded sample of rows.
-The counts of forms and words cover all rows.
+rough weights and are re-estimated by Viterbi training on all scanned rows: every
+round labels all their lines where they lie, and only counts come to the driver.
+The counts of forms and words cover all rows too.
 
 Only lines that the path labels as break are read as such: the lexicon then tells a
 cut word from a compound cut at its own hyphen.  A word is misread when it is rare and
@@ -18,9 +19,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import product
 from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,8 @@ from textquarry.session import checkpointed, table
 #: Least share of a word among all words, and of a form among the lines at page edges.  At most the
 #: inverse of it reach the share, which bounds what is broadcast at any size of the corpus.
 LEXICON, FORMS = 1e-7, 1e-4
-#: Rows that re-estimate the model, and rounds of training.
-SAMPLE, ROUNDS = 2_000, 4
+#: Rounds of training.
+ROUNDS = 4
 #: Times that a word must be more frequent than its misreading.
 RATIO = 12
 
@@ -145,6 +148,15 @@ def observe(lines: list[str], forms: dict[int, str], first: int | None, last: in
 
 
 STATES = ("header", "body", "break")
+#: Values of each feature of a line's layout, all layouts that follow, and their numbers.
+FEATURES = (
+    ("top", "second", "bottom", "inside", "chunk"),
+    tuple(product(("edge", "mixed", "inside"), product(("short", "middle", "full"), ("none", "some", "most"), ("-", "yes", "no")), (False, True))),
+    ("cut", "stop", "bar", "other"),
+    ("none", "lower", "upper", "digit", "sign", "bar"),
+)
+LAYOUTS = list(product(*FEATURES))
+CODES = {layout: n for n, layout in enumerate(LAYOUTS)}
 # Rough weights that training starts from: (header, body, break) for the values of each feature; what is not named shares the rest.
 PLACE = {"top": (0.27, 0.03, 0.03), "second": (0.1, 0.03, 0.03), "bottom": (0.21, 0.03, 0.03), "chunk": (0.4, 0.4, 0.4)}
 FORM = {"edge": (0.75, 0.005, 0.005), "mixed": (0.15, 0.02, 0.01)}
@@ -214,27 +226,95 @@ class LineModel:
             path.append(step[path[-1]])
         return [STATES[p] for p in reversed(path)]
 
+    def paths(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """States, by number, of sequences of layouts that lie one after the other; as ``best`` finds them, all at once."""
+        used, which = np.unique(codes, return_inverse=True)
+        emitted = np.array([self.emit(LAYOUTS[c]) for c in used])[which]
+        start = np.array([self.start[s] for s in STATES])
+        move = np.array([[self.move[p][s] if self.transitions else self.start[s] for p in STATES] for s in STATES])
+        # the longest come first, so that those that go on at a step are the first ones
+        order = np.argsort(-lengths, kind="stable")
+        first, falling = (np.cumsum(lengths) - lengths)[order], -lengths[order]
+        back, out = np.zeros((len(codes), len(STATES)), dtype=np.int8), np.empty(len(codes), dtype=np.int8)
+        score = start + emitted[first]
+        steps = range(1, int(lengths.max()))
+        for t in steps:
+            n = np.searchsorted(falling, -t)
+            here = first[:n] + t
+            ways = score[:n, None] + move
+            back[here] = ways.argmax(axis=2)
+            score[:n] = ways.max(axis=2) + emitted[here]
+        state = score.argmax(axis=1)
+        for t in reversed(steps):
+            n = np.searchsorted(falling, -t)
+            here = first[:n] + t
+            out[here] = state[:n]
+            state[:n] = back[here, state[:n]]
+        out[first] = state
+        return out
+
+    def tally(self, codes: np.ndarray, lengths: np.ndarray) -> Counter:
+        """How often the paths show a state with a layout, at the start and after another: (what, layout or state, state) -> times."""
+        if not len(lengths):
+            return Counter()
+        path, n = self.paths(codes, lengths).astype(np.int64), len(STATES)
+        inner = np.ones(len(codes), dtype=bool)
+        first = np.cumsum(lengths) - lengths
+        inner[first] = False
+        pairs = {"seen": codes.astype(np.int64) * n + path, "start": path[first], "move": path[:-1][inner[1:]] * n + path[1:][inner[1:]]}
+        return Counter({(what, k // n, k % n): times for what, keys in pairs.items() for k, times in zip(*(x.tolist() for x in np.unique(keys, return_counts=True)))})
+
+    def learn(self, times: Counter) -> None:
+        """Distributions from the counts of all sequences."""
+        seen: list[dict] = [defaultdict(lambda: [0] * len(STATES)) for _ in FEATURES]
+        start, move = Counter({s: 1 for s in STATES}), {s: Counter({t: 5 for t in STATES}) for s in STATES}
+        for (what, k, s), n in times.items():
+            if what == "seen":
+                for feature, value in enumerate(LAYOUTS[k]):
+                    seen[feature][value][s] += n
+            elif what == "start":
+                start[STATES[s]] += n
+            else:
+                move[STATES[k]][STATES[s]] += n
+        self.seen = [{v: tuple(n) for v, n in feature.items()} for feature in seen]
+        self.total = [sum(n[s] for n in self.seen[0].values()) for s in range(len(STATES))]
+        self.memo = {}
+        self.start = {s: log(start[s] / sum(start.values())) for s in STATES}
+        self.move = {s: {t: log(move[s][t] / sum(move[s].values())) for t in STATES} for s in STATES}
+
     def train(self, sequences: list[list[tuple]], rounds: int = ROUNDS) -> LineModel:
+        joined, lengths = packed([encoded(x) for x in sequences])
+        for _ in range(rounds):
+            self.learn(self.tally(joined, lengths))
+        return self
+
+    def train_on(self, layouts: DataFrame, rounds: int = ROUNDS) -> LineModel:
+        """Train on a column of encoded sequences; what comes to the driver is bounded by the number of layouts."""
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            times = Counter()
+            for batch in batches:
+                times.update(self.tally(*packed(batch["lines"])))
+            if times:
+                yield pd.DataFrame([(*k, n) for k, n in times.items()], columns=["what", "k", "s", "n"])
+
         for _ in range(rounds):
-            seen: list[dict] = [defaultdict(lambda: [0.0] * len(STATES)) for _ in range(4)]
-            start, move = Counter({s: 1 for s in STATES}), {s: Counter({t: 5 for t in STATES}) for s in STATES}
-            for sequence in sequences:
-                path = self.best(sequence)
-                if path:
-                    start[path[0]] += 1
-                for s, line in zip(path, sequence):
-                    for feature, value in enumerate(line):
-                        seen[feature][value][STATES.index(s)] += 1
-                for s, t in zip(path, path[1:]):
-                    move[s][t] += 1
-            self.seen = [{v: tuple(n) for v, n in feature.items()} for feature in seen]
-            self.total = [sum(n[s] for n in self.seen[0].values()) for s in range(len(STATES))]
-            self.memo = {}
-            self.start = {s: log(start[s] / sum(start.values())) for s in STATES}
-            self.move = {s: {t: log(move[s][t] / sum(move[s].values())) for t in STATES} for s in STATES}
+            counted = layouts.mapInPandas(count, "what string, k int, s int, n long").groupBy("what", "k", "s").agg(F.sum("n").alias("n"))
+            self.learn(Counter({(r["what"], r["k"], r["s"]): r["n"] for r in counted.collect()}))
         return self
 
 
+def encoded(sequence: list[tuple]) -> bytes:
+    """The numbers of the layouts of a row's lines."""
+    return np.array([CODES[x] for x in sequence], dtype="<u2").tobytes()
+
+
+def packed(sequences: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Encoded sequences that are not empty, one after the other, and their lengths."""
+    kept = [x for x in sequences if x]
+    return np.frombuffer(b"".join(kept), dtype="<u2"), np.array([len(x) // 2 for x in kept], dtype=np.int64)
+
+
 class Lexicon:
     """Frequent words of the corpus, less those that are misreadings of far more frequent ones."""
 
@@ -542,14 +622,21 @@ def read_scans(rows: DataFrame) -> DataFrame:
     edges = checkpointed(scans.where("page").select("text").mapInPandas(_edges, "form long, edge long, inside long").groupBy("form").agg(F.sum("edge").alias("edge"), F.sum("inside").alias("inside")).where("edge >= 4"))
     least = max(4, FORMS * (edges.agg(F.sum("edge")).first()[0] or 0))
     forms = {r["form"]: "edge" if r["edge"] > 4 * r["inside"] else "mixed" for r in edges.where((F.col("edge") >= least) & (F.col("edge") >= F.col("inside"))).collect()}
-    # a share of all rows by their hash, so that no partition sends more than its part
-    n_scans = scans.count()
-    sample = scans.where(F.pmod(F.xxhash64("tab", "row_id"), F.lit(max(1, n_scans // SAMPLE))) == 0).select("page", "first", "last", "text").collect()
-    sequences = [observe(plain_characters(r["text"]).split("\n"), forms, r["first"], r["last"], r["page"])[1] for r in sample]
-    shared = spark.sparkContext.broadcast((forms, LineModel().train(sequences), Lexicon(lexicon)))
+    known = spark.sparkContext.broadcast(forms)
+
+    def layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for page, first, last, text in batch.itertuples(index=False):
+                span = tuple(None if pd.isna(x) else int(x) for x in (first, last))
+                out.append(encoded(observe(plain_characters(text).split("\n"), known.value, *span, page)[1]))
+            yield pd.DataFrame({"lines": out})
+
+    lines = checkpointed(scans.select("page", "first", "last", "text").mapInPandas(layouts, "lines binary"))
+    shared = spark.sparkContext.broadcast((LineModel().train_on(lines), Lexicon(lexicon)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forms, model, lexicon = shared.value
+        forms, (model, lexicon) = known.value, shared.value
         for batch in batches:
             out = []
             for tab, row_id, page, first, last, text, before, moved, after in batch.itertuples(index=False):
